@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam
+from . import decontam, langid, licenses
 from .common import documents
 from .sql import ORACLES
 
@@ -16,5 +16,30 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op9_decontam": op9_decontam}
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License scan of all documents.  ``score``: 1 where a whole notice matches, 0.5 where only a name phrase does, else 0."""
+    found = licenses.scan(documents(spark, sf_dir, "doc_id", "text"))
+    base = F.filter("matches", lambda m: m["base"])
+    names = lambda m: F.array_join(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda m: m["start"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda m: m["start"])).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("matches")).alias("labels"),
+        F.when(F.exists("matches", lambda m: ~m["base"]), 1.0).when(F.size("matches") > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learnt from those whose crc32(doc_id) mod 4 is not 2."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op4_language, op9_decontam)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}

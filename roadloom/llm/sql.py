@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+from . import licenses
 from .common import LOWER, UPPER, WORD_PATTERN
 
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_PATTERN}')"
 
+_BASE = [t for t in licenses.TEMPLATES if t.base]
+_OTHER = [t for t in licenses.TEMPLATES if not t.base]
+
+
+def _starts(t: licenses.Template) -> str:
+    """The places of a name phrase in the list w."""
+    words = licenses.parse(t.markup)
+    return "list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x.decode()}'" for k, x in enumerate(words)) + ")"
+
+
 ORACLES = {
+    "op1_license_scan": f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, list_transform(w, lambda x: x || ' ') AS spaced, {", ".join(f'{_starts(t)} AS s_{t.label}' for t in _BASE)} FROM d),
+q AS (SELECT *, flatten([{", ".join(f's_{t.label}' for t in _BASE)}]) AS starts,
+  list_filter([{", ".join(f"CASE WHEN len(s_{t.label}) > 0 THEN '{t.label}' END" for t in _BASE)}], lambda x: x IS NOT NULL) AS b,
+  list_filter([{", ".join(f"CASE WHEN regexp_matches(array_to_string(spaced, ''), '{licenses.pattern(t.markup)}') THEN '{t.label}' END" for t in _OTHER)}], lambda x: x IS NOT NULL) AS o FROM p)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) AS n_base, CAST(list_min(starts) AS BIGINT) AS first_word, CAST(list_max(starts) AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(b), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_concat(b, o)), ','), '') AS labels,
+  CASE WHEN len(o) > 0 THEN 1.0 WHEN len(b) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM q
+""",
     "op9_decontam": f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
