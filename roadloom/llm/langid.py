@@ -45,39 +45,40 @@ class Model:
     def __init__(self, counts: list[tuple[str, str, int]], longest: int = 5, least: int = 2):
         self.langs = sorted({lang for lang, _, _ in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        size, words = len(self.langs), {}
-        tables: list[dict[str, np.ndarray]] = [{} for _ in range(longest + 1)]
+        words: dict[str, list] = {}
+        tables: list[dict[str, list]] = [{} for _ in range(longest + 1)]
         for lang, word, n in counts:
-            words.setdefault(word, np.zeros(size))[at[lang]] += n
-            for k in range(1, longest + 1):
-                for g in grams(word, k):
-                    tables[k].setdefault(g, np.zeros(size))[at[lang]] += n
-        self.words = self._logs({w: c for w, c in words.items() if c.sum() >= least})
-        self.tables = [self._logs({g: c for g, c in t.items() if c.sum() >= least or k == 1}) for k, t in enumerate(tables)]
+            i = at[lang]
+            for table, keys in [(words, (word,)), *((tables[k], grams(word, k)) for k in range(1, longest + 1))]:
+                for g in keys:
+                    row = table.get(g)
+                    if row is None:
+                        row = table[g] = [0.0] * len(at)
+                    row[i] += n
+        self.words = self._logs({w: c for w, c in words.items() if sum(c) >= least})
+        self.tables = [self._logs({g: c for g, c in t.items() if sum(c) >= least or k == 1}) for k, t in enumerate(tables)]
         self.longest = longest
 
     @staticmethod
-    def _logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def _logs(table: dict[str, list]) -> dict[str, list]:
         if not table:
             return {}
         counts = np.array(list(table.values())) + 0.5
-        logs = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-        return dict(zip(table, logs, strict=True))
+        return dict(zip(table, np.log(counts / counts.sum(axis=0)).tolist(), strict=True))
 
-    def of_word(self, word: str) -> np.ndarray:
+    def of_word(self, word: str) -> list:
         found = self.words.get(word)
         if found is not None:
             return found
         for k in range(self.longest, 0, -1):
-            table = self.tables[k]
-            known = [table[g] for g in grams(word, k) if g in table]
+            known = [*filter(None, map(self.tables[k].get, grams(word, k)))]
             if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return [sum(x) / len(known) for x in zip(*known)]
+        return [0.0] * len(self.langs)
 
     def scorer(self):
         """A function from text to (language, score), with a bounded memory of words."""
-        fresh: list[np.ndarray] = []
+        fresh: list[list] = []
         matrix, filled = np.zeros((4096, len(self.langs)), np.float32), 0
 
         def row(word: str) -> int:
