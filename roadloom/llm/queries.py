@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses
+from . import decontam, langid, licenses, sharding, tokens
 from .common import documents
 from .sql import ORACLES
 
@@ -41,5 +41,25 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op4_language, op9_decontam)}
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to files in ascending doc_id order and read back."""
+    folder, files = tokens.write(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
+    return tokens.read(spark, folder, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards under the law ``rows``: proportional stratified interleaving by source."""
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    docs = documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    placed = sharding.interleave(docs, 8, carry=["size", "text_crc32"])
+    return placed.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op4_language, op5_token_ids, op9_decontam, op10_sharding)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}

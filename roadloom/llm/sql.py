@@ -17,7 +17,19 @@ def _starts(t: licenses.Template) -> str:
     return "list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x.decode()}'" for k, x in enumerate(words)) + ")"
 
 
+#: crc32 of a list of byte values, by the usual table of the reversed polynomial.
+_CRC_TABLE = "(SELECT list(v ORDER BY i) FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM (SELECT unnest(range(256)) AS i)))"
+
 ORACLES = {
+    "op10_sharding": f"""
+WITH t AS (SELECT {_CRC_TABLE} AS crc_table),
+d AS (SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, md5('0:' || CAST(doc_id AS VARCHAR)) AS k,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+c AS (SELECT doc_id, source, size, k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, x: xor(a // 256, crc_table[xor(a % 256, x) + 1])), 4294967295) AS text_crc32 FROM d, t),
+r AS (SELECT *, CAST(2 * row_number() OVER (PARTITION BY source ORDER BY k, doc_id) - 1 AS DOUBLE) / CAST(2 * count(*) OVER (PARTITION BY source) AS DOUBLE) AS f FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, k, doc_id) - 1 AS place, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 8 // n AS INTEGER) AS shard, CAST(place - ((place * 8 // n) * n + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+""",
     "op1_license_scan": f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 p AS (SELECT doc_id, len(w) AS n_words, list_transform(w, lambda x: x || ' ') AS spaced, {", ".join(f'{_starts(t)} AS s_{t.label}' for t in _BASE)} FROM d),
