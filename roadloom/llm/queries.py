@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, sharding, tokens
+from . import decontam, langid, licenses, mixing, quality, sharding, tokens
 from .common import documents
 from .sql import ORACLES
 
@@ -61,5 +61,38 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op4_language, op5_token_ids, op9_decontam, op10_sharding)}
+#: Token weights of the domains told by ``labels``: more good text, little that is toxic.
+MIXTURE = {"good": 0.85, "poor": 0.13, "toxic": 0.02}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled documents."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("domain"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents for the target mixture, with their tokens and posteriors."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    mixture = mixing.fit(docs, domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), MIXTURE)
+    names = mixture.classifier.domains
+    return mixture.rates(docs).select("row.doc_id", "n_tokens", *[F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(names)], "rate")
+
+
+#: Grades told by ``labels``: 0 toxic, 1 poor, 2 good.
+GRADES = 3
+
+
+def grades(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade) of the labelled documents."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).otherwise(1 + F.col("quality")).cast("int").alias("grade"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of all documents, the probability of the best grade, and whether that selects them."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = quality.fit(docs, grades(spark.read.parquet(f"{sf_dir}/labels.parquet")), GRADES)
+    return quality.predict(docs, model, tail=2).select("doc_id", "score", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_mixing, op4_language, op5_token_ids, op6_quality, op9_decontam, op10_sharding)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
