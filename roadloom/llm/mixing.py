@@ -39,7 +39,7 @@ def features_of(tokens: Column, buckets: int) -> Column:
 class Classifier:
     """Posteriors of the domains as a column expression."""
 
-    def __init__(self, domains: list[str], priors: list[float], weights: DataFrame | None, buckets: int):
+    def __init__(self, domains: list[str], priors: list[float], weights: list[list[float]] | None, buckets: int):
         self.domains, self.priors, self.weights, self.buckets = domains, priors, weights, buckets
 
     @classmethod
@@ -48,40 +48,43 @@ class Classifier:
         sample = known.orderBy(F.xxhash64("id", F.lit("sample")), "id", "domain").limit(sample_docs)
         rated = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
         seen = stored(rated.select("domain", features_of(tokens_of(F.col("text")), buckets).alias("f")), "mixing-sample")
-        found = {r.domain: (r.n, r.size) for r in seen.groupBy("domain").agg(F.count("*").alias("n"), F.sum(F.size("f")).alias("size")).collect()}
-        total = sum(n for n, _ in found.values())
+        found = {r.domain: r.n for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+        total = sum(found.values())
         kept = [d for d in domains if d in found] or domains
-        priors = [math.log(found[d][0] / total) if d in found else math.log(1 / len(kept)) for d in kept]
+        priors = [math.log(found[d] / total) if d in found else math.log(1 / len(kept)) for d in kept]
         if not total:
             return cls(kept, priors, None, buckets)
         counts = seen.select("domain", F.explode("f").alias("b")).groupBy("b").pivot("domain", kept).count()
         every = docs.sparkSession.range(1, buckets + 1).select(F.col("id").cast("int").alias("b"))
         table = every.join(counts, "b", "left")
-        # log odds of a feature against its mean over the domains: features seen by chance only say little
-        logs = [F.log((F.coalesce(F.col(f"`{d}`"), F.lit(0)) + 1.0) / (found[d][0] + 2.0)) for d in kept]
-        mean = sum(logs[1:], logs[0]) / len(kept)
-        rows = F.array_sort(F.collect_list(F.struct("b", *[(x - mean).alias(f"w{i}") for i, x in enumerate(logs)])))
-        return cls(kept, priors, stored(table.agg(*[rows.alias("r")]), "mixing-model"), buckets)
-
-    def posteriors(self, tokens: Column) -> Column:
-        """An array with the probability of each domain."""
-        if self.weights is None:
-            scores = [F.lit(p) for p in self.priors]
-        else:
-            f = features_of(tokens, self.buckets)
-            scores = [F.lit(prior) + self._sum(f, f"w{i}") for i, prior in enumerate(self.priors)]
-        return normal(F.array(*scores))
-
-    def _sum(self, features: Column, name: str) -> Column:
-        """The sum of a domain's weights; the weights are a scalar subquery, so that each executor holds them once."""
-        weights = self.weights.select(F.transform("r", lambda x: x[name])).scalar()
-        return F.aggregate(features, F.lit(0.0), lambda acc, b: acc + F.element_at(weights, b))
-
-
-def normal(scores: Column) -> Column:
-    """Softmax of an array."""
-    raised = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+        # log of the found against the expected count, both raised by one: what is seen by chance says little
+        n = {d: F.coalesce(F.col(f"`{d}`"), F.lit(0)) for d in kept}
+        share = sum((n[d] for d in kept[1:]), n[kept[0]]) / float(total)
+        logs = [F.log((n[d] + 1.0) / (share * found[d] + 1.0)) for d in kept]
+        rows = table.select("b", *[F.round(x, 6).alias(f"w{i}") for i, x in enumerate(logs)]).orderBy("b").collect()
+        return cls(kept, priors, [[r[f"w{i}"] for r in rows] for i in range(len(kept))], buckets)
+
+    def posteriors(self, df: DataFrame) -> DataFrame:
+        """``df`` with its column ``tokens`` as their number ``n_tokens`` and the array ``posteriors``.
+
+        Each step is a projection of its own, for what is used several times to be computed once.
+        """
+        keep = [c for c in df.columns if c != "tokens"]
+        names = [f"_s{i}" for i in range(len(self.priors))]
+        df = df.select(*keep, F.size("tokens").cast("long").alias("n_tokens"), features_of(F.col("tokens"), self.buckets).alias("_f"))
+        keep.append("n_tokens")
+        weights = self.weights or [None] * len(names)
+        df = df.select(*keep, *[(F.lit(p) + self._sum(F.col("_f"), w) if w else F.lit(p)).alias(n) for n, p, w in zip(names, self.priors, weights, strict=True)])
+        df = df.select(*keep, *names, (F.greatest(*names) if len(names) > 1 else F.col(names[0])).alias("_best"))
+        df = df.select(*keep, *[F.exp(F.col(n) - F.col("_best")).alias(n) for n in names])
+        df = df.select(*keep, *names, sum((F.col(n) for n in names[1:]), F.col(names[0])).alias("_all"))
+        return df.select(*keep, F.array(*[F.col(n) / F.col("_all") for n in names]).alias("posteriors"))
+
+    @staticmethod
+    def _sum(features: Column, weights: list[float]) -> Column:
+        """The sum of a domain's weights; the list of weights folds to a constant of the plan."""
+        constant = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
+        return F.aggregate(features, F.lit(0.0), lambda acc, b: acc + F.element_at(constant, b))
 
 
 def rate_of(p: Column, steps: list[list[float]], step: float, pull: float) -> Column:
@@ -105,20 +108,18 @@ class Mixture:
 
     def rates(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``row`` (all columns of the document), ``n_tokens``, ``posteriors`` in the order of the domains, and ``rate``."""
-        tokens = tokens_of(F.col(text_col))
-        found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), tokens.alias("tokens"))
-        found = found.select("row", F.size("tokens").cast("long").alias("n_tokens"), self.classifier.posteriors(F.col("tokens")).alias("posteriors"))
-        return found.withColumn("rate", rate_of(F.col("posteriors"), self.steps, self.step, self.pull))
+        found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), tokens_of(F.col(text_col)).alias("tokens"))
+        return self.classifier.posteriors(found).withColumn("rate", rate_of(F.col("posteriors"), self.steps, self.step, self.pull))
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_col: str = "domain", sample_docs: int = 8000, buckets: int = 1 << 14, pull: float = 1e-3, iterations: int = 40, close: float = 1e-3) -> Mixture:
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_col: str = "domain", sample_docs: int = 8000, buckets: int = 1 << 14, pull: float = 1e-3, iterations: int = 30, close: float = 1e-2) -> Mixture:
     """Rates whose expected domain totals are ``targets`` (weights, any scale) of the documents' tokens."""
     classifier = Classifier.fit(docs, labels, sorted(targets), id_col, text_col, label_col, sample_docs, buckets)
     size = len(classifier.domains)
     goal = [targets[d] for d in classifier.domains]
     goal = [g / sum(goal) for g in goal]
-    tokens = tokens_of(F.col(text_col))
-    thin = stored(docs.select(tokens.alias("tokens")).select(F.size("tokens").cast("double").alias("t"), classifier.posteriors(F.col("tokens")).alias("p")), "mixing-posteriors")
+    found = classifier.posteriors(docs.select(tokens_of(F.col(text_col)).alias("tokens")))
+    thin = stored(found.select(F.col("n_tokens").cast("double").alias("t"), F.col("posteriors").alias("p")), "mixing-posteriors")
 
     def sums(rate: Column) -> list[float]:
         got = thin.agg(F.sum("t").alias("all"), *[F.sum(F.col("t") * F.col("p")[i] * rate).alias(f"d{i}") for i in range(size)]).first()
