@@ -1,6 +1,6 @@
 """Mixing to target weights with soft membership, in DataFrame functions only.
 
-A labelled table (id, domain) trains a naive Bayes classifier over hashed word beginnings, present or absent; its posteriors
+A labelled table (id, domain) trains a softmax regression over hashed word beginnings, present or absent; its posteriors
 say how far a document belongs to each domain.  Every document then gets a nonnegative rate such that the expected token
 totals of the domains, the sums of rate x tokens x posterior, match the targets: projected-gradient least squares with a
 small pull towards rate 1.  A step needs one sum for each domain over all documents; a document's rate after some steps
@@ -17,8 +17,7 @@ table gives no rows.  Documents keep all their columns, held in one struct, so n
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +35,30 @@ def features_of(tokens: Column, buckets: int) -> Column:
     return F.array_distinct(F.transform(tokens, lambda t: F.pmod(F.hash(F.substring(t, 1, 5)), F.lit(buckets)) + 1))
 
 
+def softmax_fit(rows: list[np.ndarray], y: np.ndarray, classes: int, buckets: int, steps: int = 120, decay: float = 4.0, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Biases and weights of a softmax regression by full-batch Adam; features of a few rows only have no weight."""
+    at = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    held = np.bincount(at, minlength=buckets)[at] >= least
+    at, owner = at[held], owner[held]
+    share = np.bincount(y, minlength=classes) / len(y)
+    params = np.concatenate([np.zeros((classes, buckets)), np.log(share)[:, None]], axis=1)
+    m, v = np.zeros_like(params), np.zeros_like(params)
+    truth = np.eye(classes)[y]
+    for step in range(1, steps + 1):
+        scores = np.stack([np.bincount(owner, w[at], len(rows)) for w in params], axis=1) + params[:, -1]
+        p = np.exp(scores - scores.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        wrong = p - truth
+        grad = np.stack([np.append(np.bincount(at, wrong[owner, c], buckets) + decay * params[c, :-1], wrong[:, c].sum()) for c in range(classes)])
+        m = 0.9 * m + 0.1 * grad
+        v = 0.99 * v + 0.01 * grad * grad
+        params -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return params[:, -1], params[:, :-1]
+
+
 class Classifier:
-    """Posteriors of the domains as a column expression."""
+    """Posteriors of the domains as a column expression; fitted on the driver, on a sample of bounded size."""
 
     def __init__(self, domains: list[str], priors: list[float], weights: list[list[float]] | None, buckets: int):
         self.domains, self.priors, self.weights, self.buckets = domains, priors, weights, buckets
@@ -48,21 +69,12 @@ class Classifier:
         sample = known.orderBy(F.xxhash64("id", F.lit("sample")), "id", "domain").limit(sample_docs)
         rated = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
         seen = stored(rated.select("domain", features_of(tokens_of(F.col("text")), buckets).alias("f")), "mixing-sample")
-        found = {r.domain: r.n for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-        total = sum(found.values())
-        kept = [d for d in domains if d in found] or domains
-        priors = [math.log(found[d] / total) if d in found else math.log(1 / len(kept)) for d in kept]
-        if not total:
-            return cls(kept, priors, None, buckets)
-        counts = seen.select("domain", F.explode("f").alias("b")).groupBy("b").pivot("domain", kept).count()
-        every = docs.sparkSession.range(1, buckets + 1).select(F.col("id").cast("int").alias("b"))
-        table = every.join(counts, "b", "left")
-        # log of the found against the expected count, both raised by one: what is seen by chance says little
-        n = {d: F.coalesce(F.col(f"`{d}`"), F.lit(0)) for d in kept}
-        share = sum((n[d] for d in kept[1:]), n[kept[0]]) / float(total)
-        logs = [F.log((n[d] + 1.0) / (share * found[d] + 1.0)) for d in kept]
-        rows = table.select("b", *[F.round(x, 6).alias(f"w{i}") for i, x in enumerate(logs)]).orderBy("b").collect()
-        return cls(kept, priors, [[r[f"w{i}"] for r in rows] for i in range(len(kept))], buckets)
+        rows = [(r.domain, r.f) for r in seen.collect()]
+        kept = [d for d in domains if any(d == r[0] for r in rows)] or domains
+        if not rows:
+            return cls(kept, [0.0] * len(kept), None, buckets)
+        bias, weights = softmax_fit([np.array(f, np.int64) - 1 for _, f in rows], np.array([kept.index(d) for d, _ in rows]), len(kept), buckets)
+        return cls(kept, bias.tolist(), [[round(x, 4) for x in w] for w in weights.tolist()], buckets)
 
     def posteriors(self, df: DataFrame) -> DataFrame:
         """``df`` with its column ``tokens`` as their number ``n_tokens`` and the array ``posteriors``.
@@ -112,7 +124,7 @@ class Mixture:
         return self.classifier.posteriors(found).withColumn("rate", rate_of(F.col("posteriors"), self.steps, self.step, self.pull))
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_col: str = "domain", sample_docs: int = 8000, buckets: int = 1 << 14, pull: float = 1e-3, iterations: int = 30, close: float = 1e-2) -> Mixture:
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_col: str = "domain", sample_docs: int = 8000, buckets: int = 1 << 15, pull: float = 1e-3, iterations: int = 30, close: float = 1e-2) -> Mixture:
     """Rates whose expected domain totals are ``targets`` (weights, any scale) of the documents' tokens."""
     classifier = Classifier.fit(docs, labels, sorted(targets), id_col, text_col, label_col, sample_docs, buckets)
     size = len(classifier.domains)
