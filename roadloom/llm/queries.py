@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, mixing, quality, sharding, tokens
+from . import decontam, langid, licenses, mixing, neardup, quality, sharding, tokens
 from .common import documents
 from .sql import ORACLES
 
@@ -61,6 +61,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: shingles of five words, similarity of 85 % or more."""
+    return neardup.groups(documents(spark, sf_dir, "doc_id", "text"), 85)
+
+
 #: Token weights of the domains told by ``labels``: more good text, little that is toxic.
 MIXTURE = {"good": 0.85, "poor": 0.13, "toxic": 0.02}
 
@@ -94,5 +99,5 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, model, tail=2).select("doc_id", "score", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_mixing, op4_language, op5_token_ids, op6_quality, op9_decontam, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_neardup, op3_mixing, op4_language, op5_token_ids, op6_quality, op9_decontam, op10_sharding)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
