@@ -67,15 +67,30 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 class Encoder:
     """Encodes texts with a tokenizer file, with a bounded memory of pieces."""
 
-    def __init__(self, path: str, pieces: bool = True, most: int = 500_000):
+    def __init__(self, path: str, pieces: bool = True, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.pieces, self.most, self.known = pieces, most, {}
+        self.pieces, self.most, self.known, self.former = pieces, most, {}, {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters only, encoded as one text: each has one end-of-word id, its last."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._encode(words)
+        raw, width = ids.tobytes(), self.kind.itemsize
+        ends = (ends * width).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     @staticmethod
     def _split(text: bytes) -> list[bytes]:
@@ -87,13 +102,20 @@ class Encoder:
         if not self.pieces:
             return self._encode([(t or b"").decode() for t in texts])
         known = self.known
-        if len(known) > self.most:
-            known.clear()
+        if len(known) > self.most:  # what was used since the last time is kept, the rest forgotten
+            self.former, self.known = known, {}
+            known = self.known
         docs = [self._split(t) if t else [] for t in texts]
         fresh = set().union(*docs) - known.keys()
+        again = fresh & self.former.keys()
+        known.update(zip(again, map(self.former.__getitem__, again), strict=True))
+        fresh -= again
         ended = {w: (w[:-1], w[-1:]) for w in fresh if len(w) > 1 and w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
         new = [*({x for w in fresh for x in ended.get(w, (w,))} - known.keys())]
-        known.update(zip(new, self._encode([w.decode() for w in new]), strict=True))
+        plain = [w.decode() for w in new]
+        for some, encode in (([w for w in plain if w.isalpha()], self._words), ([w for w in plain if not w.isalpha()], self._encode)):
+            for at in range(0, len(some), 4096):
+                known.update(zip([w.encode() for w in some[at : at + 4096]], encode(some[at : at + 4096]), strict=True))
         known.update((w, known[a] + known[b]) for w, (a, b) in ended.items())
         return [b"".join(map(known.__getitem__, d)) for d in docs]
 
