@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, licenses, mixing, neardup, quality, sharding, tokens
+from . import ann, decontam, langid, licenses, mixing, neardup, quality, sharding, suffixdedup, tokens
 from .common import documents
 from .sql import ORACLES
 
@@ -99,11 +99,19 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, model, tail=2).select("doc_id", "score", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 50-byte strings that start in an earlier document too."""
+    found = suffixdedup.removed(documents(spark, sf_dir, "doc_id", "text"), 50)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    raw = F.coalesce("text", F.lit(b""))
+    return found.select("doc_id", (F.length(raw) + gone).alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of all vectors to those whose id is divisible by 50."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return ann.Index(vectors).search(F.col("id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_neardup, op3_mixing, op4_language, op5_token_ids, op6_quality, op8_nearest, op9_decontam, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_neardup, op3_mixing, op4_language, op5_token_ids, op6_quality, op7_repeats, op8_nearest, op9_decontam, op10_sharding)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
