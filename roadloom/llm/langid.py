@@ -55,16 +55,18 @@ class Model:
                     if row is None:
                         row = table[g] = [0.0] * len(at)
                     row[i] += n
-        self.words = self._logs({w: c for w, c in words.items() if sum(c) >= least})
-        self.tables = [self._logs({g: c for g, c in t.items() if sum(c) >= least or k == 1}) for k, t in enumerate(tables)]
+        self.words = self._logs(words, least)
+        self.tables = [self._logs(t, 1 if k == 1 else least) for k, t in enumerate(tables)]
         self.longest = longest
 
     @staticmethod
-    def _logs(table: dict[str, list]) -> dict[str, list]:
+    def _logs(table: dict[str, list], least: int) -> dict[str, list]:
+        """Logarithms of the shares of a language's total, of what was seen often enough in all."""
         if not table:
             return {}
-        counts = np.array(list(table.values())) + 0.5
-        return dict(zip(table, np.log(counts / counts.sum(axis=0)).tolist(), strict=True))
+        counts = np.array(list(table.values()))
+        logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts)))
+        return {k: x.tolist() for k, x, n in zip(table, logs, counts.sum(axis=1), strict=True) if n >= least}
 
     def of_word(self, word: str) -> list:
         found = self.words.get(word)
