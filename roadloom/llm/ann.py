@@ -44,6 +44,11 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no cosine, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1, without overflow or underflow on the way."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -161,12 +166,12 @@ def _scan(size: int, rotation: np.ndarray, k: int, confidence: float):
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if asked.num_rows and held.num_rows:
-            v = matrix(held["v"], size)
+            v = scaled(matrix(held["v"], size))
             turned = np.ascontiguousarray((unit(v) @ rotation).T)
             norms = np.sqrt((v * v).sum(axis=1))
             ids = held["id"].to_pylist()
             order = np.array(ids)
-            for qid, q in zip(asked["id"].to_pylist(), matrix(asked["v"], size), strict=True):
+            for qid, q in zip(asked["id"].to_pylist(), scaled(matrix(asked["v"], size)), strict=True):
                 left = scan(turned, unit(q[None])[0] @ rotation, np.inf, k + 1, confidence)
                 scores = (v[left] @ q) / (norms[left] * np.sqrt((q * q).sum()))
                 rank = np.lexsort((order[left], -scores))
