@@ -198,7 +198,7 @@ def read_poly(spark: SparkSession, path: str) -> DataFrame:
     rings = text.select("path", F.posexplode(F.filter(F.split(body, r"\nEND"), lambda r: r.rlike(r"[0-9]\s+-?[0-9]"))).alias("ring_no", "r"))
     lines = F.filter(F.split("r", "\n"), lambda x: x.rlike(r"^\s+-?[0-9.]+(E[+-]?[0-9]+)?\s+-?[0-9.]+"))
     ring = F.transform(lines, lambda x: F.struct(F.split(F.trim(x), r"\s+")[0].cast("double").alias("x"), F.split(F.trim(x), r"\s+")[1].cast("double").alias("y")))
-    return rings.select("path", "ring_no", F.trim("r").startswith("!").alias("negative"), ring.alias("ring"))
+    return rings.select("path", "ring_no", F.col("r").rlike(r"^\s*!").alias("negative"), ring.alias("ring"))
 
 
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
