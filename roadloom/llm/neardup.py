@@ -1,17 +1,18 @@
 """MinHash near-duplicates: a multi-index Hamming join of b-bit signatures, confirmed on full shingle sets.
 
 A document's set holds its distinct shingles of ``SHINGLE`` words.  Documents with equal sets are one node, so copies
-cost one row.  A node's signature has ``chunks`` x ``width`` slots of 16 bits, each the low bits of a minimum hash.
-Two signatures that differ in fewer than ``chunks`` x (errors + 1) slots agree, by pigeonhole, in some chunk up to
-``errors`` slots; so each chunk is indexed once for every choice of slots that may be wrong, and all pairs under that
-distance share a key.  A pair at the similarity asked for differs in a share 1 - similarity of its slots on average;
-``plan`` picks chunks such that the chance to exceed the distance is under one in 10^5.
-
-Pairs of a key are not listed.  First every node is compared with the smallest and the largest node it shares most keys
-with, and what is confirmed is joined into components.  Then, of each key, the nodes outside the key's largest
-component are compared with those of other components.  Within a component nothing is left to learn, so a group of
-near copies, however large, costs one or two comparisons for each member; no pair that shares a key goes unexamined,
-and there is no cap.  Confirmation counts the shingles (64-bit hashes) in both full sets.
+cost one row.  A node's signature has ``SLOTS`` slots of 16 bits, each the low bits of a minimum hash.  The first
+``chunks`` x ``width`` of them are indexed: signatures that differ in fewer than ``chunks`` x (errors + 1) of these agree, by
+pigeonhole, in some chunk up to ``errors`` slots; so each chunk is indexed once for every choice of slots that
+may be wrong, and all pairs under that distance share a key.  A pair at the similarity asked for differs in a share 1 - similarity of
+its slots on average; ``plan`` picks chunks, and a distance over all slots, such that the chance to exceed them is under one in 10^4
+and 10^5.  Pairs that share a key and are under the distance over all slots are compared in full: shingles (64-bit hashes) are
+counted in both sets.
+
+Pairs of a key are not listed.  First every node is compared with the smallest (by id) or the largest node that it shares most
+keys with, and what is confirmed is joined into components.  Then, of the keys whose nodes are not all in one component, nodes of different
+components are compared by signature in blocks of ``ROWS`` nodes, and only what passes, once for each pair, leaves the block.
+No pair that shares a key goes unexamined, there is no cap, and no task holds more than two blocks.
 
 Defined results: texts without words, null or empty, have an empty set and are linked with nothing; texts of fewer
 words than a shingle have one shingle, the whole sequence; rows without an id are linked with nothing and kept; rows
@@ -36,6 +37,8 @@ _RNG = np.random.default_rng(20240229)
 _WORDS = _RNG.integers(0, 2**63, 2 * SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLY = _RNG.integers(0, 2**63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, 1024, np.uint64)
+SLOTS = 252
+ROWS = 2048
 BLOOM_BITS = 26
 
 
@@ -78,25 +81,32 @@ class Plan:
 
     def keys(self, signatures: np.ndarray) -> np.ndarray:
         """For each signature one key for each chunk and choice of its right slots."""
-        parts = signatures.reshape(len(signatures), self.chunks, self.width).astype(np.uint64)
+        parts = signatures[:, : self.slots].reshape(len(signatures), self.chunks, self.width).astype(np.uint64)
         acc = np.arange(self.chunks, dtype=np.uint64)[None, :, None] * np.uint64(len(self.choices)) + np.arange(len(self.choices), dtype=np.uint64)[None, None, :] + np.zeros((len(signatures), 1, 1), np.uint64)
         for k in range(self.choices.shape[1]):
             acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, self.choices[:, k]] + np.uint64(k + 1))
         return acc.reshape(len(signatures), -1).view(np.int64)
 
 
-def plan(percent: int, miss: float = 1e-5, errors: int = 1) -> Plan:
-    """The widest chunks, in about 60 slots, that miss a pair at the similarity with a smaller chance than ``miss``."""
-    wrong = 1 - percent / 100
-    for width in range(8, errors, -1):
-        chunks = 60 // width
-        p = Plan(chunks, width, errors)
-        over = sum(math.comb(p.slots, k) * wrong**k * (1 - wrong) ** (p.slots - k) for k in range(p.distance + 1, p.slots + 1))
-        if over < miss:
+def _over(slots: int, wrong: float, distance: int) -> float:
+    """The chance that more than ``distance`` of the slots differ."""
+    return sum(math.comb(slots, k) * wrong**k * (1 - wrong) ** (slots - k) for k in range(distance + 1, slots + 1))
+
+
+def plan(percent: int, miss: float = 1e-4, errors: int = 1, slots: int = SLOTS // 2) -> Plan:
+    """The widest chunks of half the slots that miss a pair at the similarity with a smaller chance than ``miss``."""
+    for width in range(12, errors, -1):
+        p = Plan(slots // width, width, errors)
+        if _over(p.slots, 1 - percent / 100, p.distance) < miss:
             return p
     raise ValueError("the similarity is too low for this index")
 
 
+def farthest(percent: int, miss: float = 1e-5) -> int:
+    """The distance over all slots that a pair at the similarity exceeds with a smaller chance than ``miss``."""
+    return next(d for d in range(SLOTS + 1) if _over(SLOTS, 1 - percent / 100, d) < miss)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of the edges (a, b): hooking to the smallest grandparent and shortcutting, in few rounds."""
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -119,7 +129,7 @@ class Index:
     def __init__(self, docs: DataFrame, percent: int, id_col: str, text_col: str):
         self.percent, self.plan = percent, plan(percent)
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        slots = self.plan.slots
+        self.distance = farthest(percent)
 
         def sign(batches):
             shingler = Shingler()
@@ -129,13 +139,14 @@ class Index:
                     "id": batch["id"],
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "set": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    "sig": pa.array([signature(s, slots).tobytes() for s in sets], pa.binary()),
+                    "sig": pa.array([signature(s, SLOTS).tobytes() for s in sets], pa.binary()),
                 })
 
         self.id_type = self.docs.schema["id"].dataType.simpleString()
         self.signed = stored(self.docs.mapInArrow(sign, f"id {self.id_type}, n long, set binary, sig binary"), "signatures")
         grouped = self.signed.where("n > 0 and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-        self.nodes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        # numbered in order of the smallest id, so that the smallest node of a group is its earliest document
+        self.nodes = stored(grouped.repartitionByRange("rep", "set").sortWithinPartitions("rep", "set").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def keyed(self) -> DataFrame:
         return self.nodes.select("node", "sig").mapInArrow(_keying(self.plan), "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
@@ -151,12 +162,12 @@ class Index:
         side = self.nodes.select("node", "sig", "n")
         joined = pairs.join(side.toDF("a", "sig_a", "n_a"), "a").join(side.toDF("b", "sig_b", "n_b"), "b")
         joined = joined.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        return joined.mapInArrow(_close(self.plan.distance), "a long, b long")
+        return joined.mapInArrow(_close(self.distance), "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b) those whose full sets are similar enough."""
         pairs = stored(pairs, "candidates")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "rep", "set"), "node")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes.select("node", "rep", "set"), "node")
         wanted = stored(wanted, "wanted")
         # documents that can't be wanted are left out by a bit table of fixed size; the join is exact
         bit = F.pmod(F.xxhash64("rep"), F.lit(1 << BLOOM_BITS)) + 1  # Spark's bitmaps count from 1
@@ -184,21 +195,19 @@ class Index:
         found = components(links)
         placed = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         placed = stored(placed, "placed")
-        sizes = placed.groupBy("key", "component").count()
-        tops = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", "top")
-        open_ = placed.join(tops, "key")
-        out = open_.where("component != top").select("key", F.col("node").alias("a"), F.col("component").alias("of_a"))
-        rest = open_.select("key", F.col("node").alias("b"), F.col("component").alias("of_b"), "top")
-        left = out.join(rest, "key").where("of_a != of_b and (of_b = top or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = self.confirmed(self.near(left.join(best, ["a", "b"], "left_anti")))
-        return components(links.union(more))
+        open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+        sides = placed.join(open_.select("key", "size"), "key").join(self.nodes.select("node", "n", "sig"), "node")
+        parts = F.ceil(F.col("size") / ROWS).cast("int")
+        sides = sides.withColumn("part", F.pmod(F.hash("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        blocks = sides.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component", "n", "sig")
+        left = blocks.groupBy("key", "i", "j").applyInArrow(_across(self.plan, self.distance, self.percent), "a long, b long")
+        return components(links.union(self.confirmed(left)))
 
 
 def _keying(plan: Plan):
     def run(batches):
         for batch in slices(batches, 2048):
-            sigs = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-            keys = plan.keys(sigs)
+            keys = plan.keys(_signatures(batch["sig"]))
             ends = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_pydict({"node": batch["node"], "keys": pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))})
 
@@ -208,13 +217,49 @@ def _keying(plan: Plan):
 def _close(distance: int):
     def run(batches):
         for batch in slices(batches, 8192):
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+            a, b = _signatures(batch["sig_a"]), _signatures(batch["sig_b"])
             held = pa.array((a != b).sum(axis=1) <= distance)
             yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"]}).filter(held)
 
     return run
 
 
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
+def _across(plan: Plan, distance: int, percent: int):
+    """Of two blocks of a key's nodes the pairs of different components that are near; each pair at its first shared key only."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        number, i, j = (k.as_py() for k in key)
+        table = table.sort_by("node")
+        part, node, component, n = (table[c].to_numpy() for c in ("part", "node", "component", "n"))
+        sigs = _signatures(table["sig"])
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        found = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(left), 32):
+            some = left[at : at + 32]
+            held = component[some][:, None] != component[right][None, :]
+            if i == j:
+                held &= some[:, None] < right[None, :]
+            held &= 100 * np.minimum(n[some][:, None], n[right][None, :]) >= percent * np.maximum(n[some][:, None], n[right][None, :])
+            x, y = np.nonzero(held)
+            for step in range(0, len(x), 1 << 15):
+                a, b = some[x[step : step + (1 << 15)]], right[y[step : step + (1 << 15)]]
+                near = (sigs[a] != sigs[b]).sum(axis=1) <= distance
+                found.append(np.stack([a[near], b[near]], axis=1))
+        pairs = np.concatenate(found)
+        if len(pairs):
+            keys = plan.keys(sigs)
+            same = keys[pairs[:, 0]] == keys[pairs[:, 1]]
+            pairs = pairs[keys[pairs[:, 0], same.argmax(axis=1)] == number]
+        ends = np.sort(node[pairs], axis=1)
+        return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
+
+    return run
+
+
 def _sets(held):
     def run(batches):
         shingler = Shingler()

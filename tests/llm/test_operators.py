@@ -239,7 +239,7 @@ def test_near_duplicates_of_odd_tables(spark):
 def test_index_keys_guarantee_the_distance():
     p = neardup.plan(85)
     rng = np.random.default_rng(3)
-    a = rng.integers(0, 1 << 16, p.slots, np.uint16)
+    a = rng.integers(0, 1 << 16, neardup.SLOTS, np.uint16)
     for _ in range(300):
         b = a.copy()
         b[rng.choice(p.slots, p.distance, replace=False)] ^= np.uint16(1)
