@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, mix64, slices, stored
 
 DIGIT = 20
-BLOCK = 1 << 20
-GROUP_BYTES = 16 << 20
+BLOCK = 1 << 18
+GROUP_BYTES = 8 << 20
 BLOOM_BITS = 26
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _BASES = np.array([0xD1342543DE82EF95, 0xAF251AF3B0F025B5], np.uint64)
@@ -95,7 +95,8 @@ def anchors(buffer: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndar
     new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     count = np.diff(np.append(new, len(starts)))
     first = starts[new]
-    return first, first + count - 1, of[new], digits[of[new]]
+    # anchors are minima, so their hashes are small: scrambled again, they deal evenly
+    return first, first + count - 1, of[new], mix64(digits[of[new]] ^ _C[0])
 
 
 def pieces(batches, depth: int, most: int = BLOCK):
@@ -227,7 +228,7 @@ def _first_pass(depth: int, groups: int):
             begin = np.concatenate([[0], ends[:-1]])[piece]
             waiting.append((digit, context, ids[piece], ties[piece], _spans(places[piece] + first - begin, size_of)))
             size += len(first)
-            if size >= 300_000:
+            if size >= 150_000:
                 yield flush()
                 waiting, size = [], 0
         if waiting:
@@ -282,7 +283,7 @@ def _second_pass(depth: int, groups: int):
                         lead, rest = (Hasher(buffer, p)(some - block, some - block + depth) for p in powers)
                         waiting.append((lead, rest, np.full(len(some), key, np.int64), np.full(len(some), tie, np.int32), some))
                         size += len(some)
-                if size >= 300_000:
+                if size >= 150_000:
                     yield flush()
                     waiting, size = [], 0
         if waiting:
