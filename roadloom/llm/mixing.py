@@ -2,9 +2,11 @@
 
 A labelled table (id, domain) trains a softmax regression over hashed word beginnings, present or absent; its posteriors
 say how far a document belongs to each domain.  Every document then gets a nonnegative rate such that the expected token
-totals of the domains, the sums of rate x tokens x posterior, match the targets: projected-gradient least squares with a
-small pull towards rate 1.  A step needs one sum for each domain over all documents; a document's rate after some steps
-is a fold over the steps' few numbers, so nothing as large as the documents is kept or joined between steps.
+totals of the domains, the sums of rate x tokens x posterior, match the targets: of all such rates those nearest to 1 in
+least squares.  They are the projected step max(0, 1 - multipliers x posteriors), where projected-gradient steps end; the
+few multipliers, one for each domain, are found by Newton steps.  A step needs a sum for each domain and pair of domains over
+all documents; a document's rate follows from the multipliers, so nothing as large as the documents is kept or joined
+between steps.  Targets that no nonnegative rates meet, as posteriors overlap, are warned of with the reached totals.
 
 The classifier is fitted on the ``sample_docs`` labelled documents that come first by a hash of their id, and has
 ``buckets`` features for each domain; both bounds are parameters.  Posteriors, totals and rates cover all documents.
@@ -17,6 +19,8 @@ table gives no rows.  Documents keep all their columns, held in one struct, so n
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,10 +117,14 @@ def rate_of(p: Column, steps: list[list[float]], step: float, pull: float) -> Co
 
 
 class Mixture:
-    """A fitted mixture: the classifier and the gradient steps."""
+    """A fitted mixture: the classifier, the gradient steps, the reached ``totals``, and ``missed``, each target's error.
+
+    Errors are shares of the target, of all tokens where a target is zero; ``met`` says that all are within the tolerance.
+    """
 
-    def __init__(self, classifier: Classifier, steps: list[list[float]], step: float, pull: float, totals: dict[str, float]):
+    def __init__(self, classifier: Classifier, steps: list[list[float]], step: float, pull: float, totals: dict[str, float], missed: dict[str, float], met: bool):
         self.classifier, self.steps, self.step, self.pull, self.totals = classifier, steps, step, pull, totals
+        self.missed, self.met = missed, met
 
     def rates(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``row`` (all columns of the document), ``n_tokens``, ``posteriors`` in the order of the domains, and ``rate``."""
@@ -125,28 +133,60 @@ class Mixture:
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_col: str = "domain", sample_docs: int = 8000, buckets: int = 1 << 15, pull: float = 1e-3, iterations: int = 30, close: float = 1e-2) -> Mixture:
-    """Rates whose expected domain totals are ``targets`` (weights, any scale) of the documents' tokens."""
+    """Rates whose expected domain totals are ``targets`` (weights, any scale) of the documents' tokens.
+
+    Newton steps on the domains' multipliers, until every total is within ``close`` of its target or no step gets nearer;
+    ``pull`` damps them.  A target that is missed all the same, or after ``iterations`` steps, is warned of.
+    """
     classifier = Classifier.fit(docs, labels, sorted(targets), id_col, text_col, label_col, sample_docs, buckets)
     size = len(classifier.domains)
-    goal = [targets[d] for d in classifier.domains]
-    goal = [g / sum(goal) for g in goal]
+    goal = np.array([targets[d] for d in classifier.domains], float)
+    goal /= goal.sum()
     found = classifier.posteriors(docs.select(tokens_of(F.col(text_col)).alias("tokens")))
     thin = stored(found.select(F.col("n_tokens").cast("double").alias("t"), F.col("posteriors").alias("p")), "mixing-posteriors")
-
-    def sums(rate: Column) -> list[float]:
-        got = thin.agg(F.sum("t").alias("all"), *[F.sum(F.col("t") * F.col("p")[i] * rate).alias(f"d{i}") for i in range(size)]).first()
-        return [float(x or 0.0) for x in got]
-
-    total, *natural = sums(F.lit(1.0))
-    step, steps = 1 / (1 + pull), []
-    totals = natural
-    while total and len(steps) < iterations:
-        missed = [x / total - g for x, g in zip(totals, goal, strict=True)]
-        if max(abs(m) / g if g else abs(m) for m, g in zip(missed, goal, strict=True)) <= close:
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+
+    def sums(slope: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """Of these multipliers: all tokens, the squared rates, the domains' totals, and how these fall with the multipliers."""
+        rated = thin.select("t", *[F.col("p")[i].alias(f"p{i}") for i in range(size)], rate_of(F.col("p"), [slope.tolist()], 1.0, 0.0).alias("r"))
+        moves = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
+        got = rated.agg(F.sum("t"), F.sum(F.col("t") * F.col("r") * F.col("r")), *[F.sum(F.col("t") * F.col(f"p{i}") * F.col("r")) for i in range(size)], *[F.sum(moves * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]).first()
+        total, squares, *rest = [float(x or 0.0) for x in got]
+        curve = np.zeros((size, size))
+        for (i, j), x in zip(pairs, rest[size:], strict=True):
+            curve[i, j] = curve[j, i] = x
+        return total, squares, np.array(rest[:size]), curve
+
+    def errors(totals: np.ndarray) -> np.ndarray:
+        return (totals / total - goal) / np.where(goal > 0, goal, 1.0) if total else np.zeros(size)
+
+    slope = np.zeros(size)
+    total, squares, totals, curve = sums(slope)
+    damping = pull * np.diag(np.maximum(totals, 1e-9 * total))
+    for _ in range(iterations):
+        if np.abs(errors(totals)).max() <= close:
+            break
+        wrong = totals - goal * total
+        move = np.linalg.solve(curve + damping, wrong)
+        # the function that the steps minimise: half the squared rates and the multipliers' price
+        now, part = squares / 2 + total * goal @ slope, 1.0
+        while part > 1e-6:
+            _, *tried = sums(slope + part * move)
+            if tried[0] / 2 + total * goal @ (slope + part * move) <= now - 1e-4 * part * (wrong @ move):
+                break
+            part /= 2
+        else:
+            break
+        slope = slope + part * move
+        before, (squares, totals, curve) = totals, tried
+        if part == 1 and np.abs(totals - before).max() <= 1e-6 * total:
             break
-        steps.append([m * total / max(n, 1e-9 * total) for m, n in zip(missed, natural, strict=True)])
-        _, *totals = sums(rate_of(F.col("p"), steps, step, pull))
-    return Mixture(classifier, steps, step, pull, dict(zip(classifier.domains, totals, strict=True)))
+    missed = errors(totals)
+    met = bool(np.abs(missed).max() <= close)
+    if not met:
+        warnings.warn("mixing targets not met: " + ", ".join(f"{d} {x / total:.4f} of the tokens for {g:.4f}" for d, x, g in zip(classifier.domains, totals, goal, strict=True)), stacklevel=2)
+    named = lambda values: dict(zip(classifier.domains, values.tolist(), strict=True))
+    return Mixture(classifier, [slope.tolist()], 1.0, pull, named(totals), named(missed), met)
 
 
 def mixed(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each text operator against brute force, and on empty, null, tied and oddly named input."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -151,6 +152,28 @@ def test_mixture_meets_its_targets(spark):
     assert mixing.mixed(docs, fitted).columns == docs.columns
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mixture_meets_each_target_by_its_own_size(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    fitted = mixing.fit(docs, queries.domains(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")), queries.MIXTURE)
+    rows = fitted.rates(docs).collect()
+    total = sum(r.n_tokens for r in rows)
+    for i, d in enumerate(fitted.classifier.domains):
+        got = sum(r.rate * r.n_tokens * r.posteriors[i] for r in rows)
+        assert abs(got / total - queries.MIXTURE[d]) <= 0.01 * queries.MIXTURE[d]
+        assert math.isclose(got, fitted.totals[d], rel_tol=1e-6)
+    assert fitted.met
+
+
+def test_mixture_tells_of_targets_out_of_reach(spark):
+    docs = spark.createDataFrame([(i, "same words in all") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "good" if i % 2 else "poor") for i in range(40)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="targets not met"):
+        fitted = mixing.fit(docs, labels, {"good": 0.9, "poor": 0.1})
+    assert not fitted.met and max(map(abs, fitted.missed.values())) > 0.1
+    assert all(0.5 < r.rate < 2 for r in fitted.rates(docs).collect())
+
+
 def test_gradient_steps_equal_numpy(spark):
     p = np.array([[0.9, 0.1], [0.2, 0.8], [0.5, 0.5]])
     steps = [[0.5, -2.0], [3.0, 0.1], [-0.2, 0.4]]
