@@ -158,6 +158,21 @@ def test_least_costs_equal_dijkstra(spark):
     assert {r.alternative for r in found.collect()} == {0, 1}
 
 
+def test_path_queries_take_every_source_and_target(spark):
+    from roadloom.plans import q_graph
+
+    sf = "/root/testdata/sf0.001"
+    edges = [(r.src, r.dst, r.weight) for r in q_graph.net(spark, sf).collect()]
+    want = {(s, t): c for s in {e[0] for e in edges} for t, c in dijkstra(edges, s).items()}
+    rows = q_graph.path_backtrack(spark, sf).collect()
+    ends = {(r.req, r.target): r.cost for r in rows if r.node == r.target}
+    assert ends.keys() == want.keys() and all(math.isclose(ends[k], want[k], abs_tol=1e-9) for k in want)
+    rows = q_graph.alt_penalty(spark, sf).collect()
+    for number in (0, 1):
+        assert {(r.req, r.target) for r in rows if r.alternative == number} == {k for k in want if k[0] != k[1]}
+    assert all(math.isclose(r.cost, want[r.req, r.target], abs_tol=1e-9) for r in rows if r.alternative == 0 and r.node == r.target)
+
+
 def test_graph_build(spark):
     nodes = spark.createDataFrame([(i, 188_000_000 + i * 1000, 139_000_000) for i in range(1, 9)], "nid long, ilon int, ilat int")
     ways = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [3, 5, 6]), (3, [7, 99, 8])], "wid long, nodes array<long>")
