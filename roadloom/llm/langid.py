@@ -6,8 +6,9 @@ nothing is known adds nothing.  The language with the largest sum is predicted (
 score is its share after a softmax over the sums.
 
 Words are maximal runs of letters after lower-casing.  The model is fitted on a bounded sample: at most about
-``sample_docs`` labelled documents of each language, chosen by a hash of id and text, of which the ``vocabulary`` most
-frequent (language, word) pairs are kept; both bounds are parameters.  Prediction reads whole texts.
+``sample_docs`` labelled documents of each language, chosen by a hash of their id, of which ``vocabulary`` (language, word)
+pairs are kept; both bounds are parameters.  Pairs are kept by their rank among the words of their own language, so that a
+rare language keeps its words beside large ones; all languages are learnt.  Prediction reads whole texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; rows with a null language are no
 training rows; with no training rows at all every text is ``und``; repeated rows and ids are judged each by
@@ -21,10 +22,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, slices
+from .common import Memo, slices, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -115,12 +116,9 @@ class Model:
 def fit(docs: DataFrame, rows: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500, vocabulary: int = 150_000, longest: int = 5) -> Model:
     """A model from the labelled documents that ``rows`` selects (all, if not given)."""
     known = docs.where(F.col(lang_col).isNotNull() if rows is None else rows & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
-    if not sizes:
-        return Model([])
     parts = 1 << 20
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(parts * min(1.0, sample_docs / n)) + 1)])
-    sample = known.where(F.col("lang").isin(list(sizes))).where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(parts)) < F.element_at(share, F.col("lang")))
+    share = known.groupBy("lang").count().select("lang", (F.floor(parts * F.least(F.lit(1.0), sample_docs / F.col("count"))) + 1).alias("share"))
+    sample = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(parts)) < F.col("share"))
 
     def count(batches):
         for batch in slices(batches, 2000):
@@ -129,8 +127,13 @@ def fit(docs: DataFrame, rows: Column | None = None, id_col: str = "doc_id", tex
                 found.update((lang, w) for w in words_in(text))
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in found], pa.string()), "word": pa.array([k[1] for k in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
-    counts = sample.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(vocabulary)
-    return Model([(r.lang, r.word, r.n) for r in counts.collect()], longest)
+    counts = stored(sample.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    # a word's rank in its language: after all more frequent ones, by hash among the equally frequent
+    above = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    ties = counts.groupBy("lang", "n").agg(F.count("*").alias("size")).withColumn("above", F.coalesce(F.sum("size").over(above), F.lit(0)))
+    rank = F.col("above") + F.pmod(F.xxhash64("word"), F.col("size"))
+    kept = counts.join(F.broadcast(ties), ["lang", "n"]).orderBy(rank, F.desc("n"), "lang", "word").limit(vocabulary)
+    return Model([(r.lang, r.word, r.n) for r in kept.collect()], longest)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -111,6 +111,15 @@ def test_language_of_odd_texts(spark):
     assert langid.keep(docs_of(spark, rows), model).count() == 3
 
 
+def test_rare_languages_are_learnt_beside_many(spark):
+    rows = [(i, f"common{i % 210}a common{i % 210}b", f"l{i % 210:03}") for i in range(420)] + [(999, "seldom heard", "zz")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 211 and model.scorer()("seldom heard")[0] == "zz"
+    rows = [(i, " ".join(f"w{i}x{j}".translate(str.maketrans("0123456789", "abcdefghij")) for j in range(50)) * 2, "big") for i in range(40)] + [(999, "seldom heard", "zz")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), vocabulary=200)
+    assert model.langs == ["big", "zz"] and model.scorer()("seldom heard")[0] == "zz"
+
+
 # --- quality ---
 
 
