@@ -14,15 +14,18 @@ piece a query keeps its k best, and the pieces' results are merged.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components take no part, nor do those of
 another length than most (ties: the longer); a query isn't its own neighbour, but rows with the same id are (each row
-is a candidate of queries with another id); ties go to the smaller id; with fewer than k candidates all are returned; an empty table
+is a candidate of queries with another id); query rows that share an id but not the vector are answered each by itself, and
+equal rows once; ties go to the smaller id; with fewer than k candidates all are returned; an empty table
 gives no rows.  Rows without an id take no part.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored
@@ -124,7 +127,7 @@ class Index:
                 order = np.argsort(-(unit(matrix(batch["v"], size)) @ centres.T), axis=1, kind="stable")
                 # more lists where the first hold too few candidates
                 held = np.cumsum(counts[order], axis=1)
-                enough = np.maximum(probes, (held <= k).sum(axis=1) + 1)
+                enough = np.maximum(probes, (held < k + batch["own"].to_numpy()[:, None]).sum(axis=1) + 1)
                 at, of, part = [], [], []
                 for i, (row, n) in enumerate(zip(order, enough, strict=True)):
                     for number in row[:n].tolist():
@@ -133,12 +136,15 @@ class Index:
                             of.append(number)
                             part.append(piece)
                 chosen = batch.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_pydict({"list": pa.array(of, pa.int32()), "piece": pa.array(part, pa.int32()), "id": chosen["id"], "v": chosen["v"]})
+                yield pa.RecordBatch.from_pydict({"list": pa.array(of, pa.int32()), "piece": pa.array(part, pa.int32()), "id": chosen["id"], "v": chosen["v"], "key": chosen["key"]})
 
-        asked = self.rows.where(queries).mapInArrow(probe, f"list int, piece int, id {self.id_type}, v array<double>")
-        found = asked.groupBy("list", "piece").cogroup(self.table.groupBy("list", "piece")).applyInArrow(_scan(self.size, self.rotation, k, confidence), f"query_id {self.id_type}, vec_id {self.id_type}, score double")
+        # equal rows are one query; ``own`` counts the rows that are no candidates, ``key`` tells an id's vectors apart
+        told = self.rows.where(queries).groupBy("id", "v").agg(F.count("*").alias("n"))
+        told = told.select("id", "v", F.sum("n").over(Window.partitionBy("id")).alias("own"), F.xxhash64("v").alias("key"))
+        asked = told.mapInArrow(probe, f"list int, piece int, id {self.id_type}, v array<double>, key long")
+        found = asked.groupBy("list", "piece").cogroup(self.table.groupBy("list", "piece")).applyInArrow(_scan(self.size, self.rotation, k, confidence), f"query_id {self.id_type}, key long, vec_id {self.id_type}, score double")
         best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k)
-        ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "b"))
+        ranked = found.groupBy("query_id", "key").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "b"))
         return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"))
 
 
@@ -164,27 +170,29 @@ def scan(x: np.ndarray, q: np.ndarray, limit: float, k: int, confidence: float)
 
 def _scan(size: int, rotation: np.ndarray, k: int, confidence: float):
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [], [], []
+        out_q, out_k, out_v, out_s = [], [], [], []
         if asked.num_rows and held.num_rows:
             v = scaled(matrix(held["v"], size))
             turned = np.ascontiguousarray((unit(v) @ rotation).T)
             norms = np.sqrt((v * v).sum(axis=1))
             ids = held["id"].to_pylist()
             order = np.array(ids)
-            for qid, q in zip(asked["id"].to_pylist(), scaled(matrix(asked["v"], size)), strict=True):
-                left = scan(turned, unit(q[None])[0] @ rotation, np.inf, k + 1, confidence)
+            rows_of = Counter(ids)
+            for qid, key, q in zip(asked["id"].to_pylist(), asked["key"].to_pylist(), scaled(matrix(asked["v"], size)), strict=True):
+                left = scan(turned, unit(q[None])[0] @ rotation, np.inf, k + max(1, rows_of[qid]), confidence)
                 scores = (v[left] @ q) / (norms[left] * np.sqrt((q * q).sum()))
                 rank = np.lexsort((order[left], -scores))
                 taken = 0
                 for j in rank:
                     if ids[left[j]] != qid:
                         out_q.append(qid)
+                        out_k.append(key)
                         out_v.append(ids[left[j]])
                         out_s.append(float(scores[j]))
                         taken += 1
                         if taken == k:
                             break
         kind = (asked if asked.num_rows else held).schema.field("id").type
-        return pa.table({"query_id": pa.array(out_q, kind), "vec_id": pa.array(out_v, kind), "score": pa.array(out_s, pa.float64())})
+        return pa.table({"query_id": pa.array(out_q, kind), "key": pa.array(out_k, pa.int64()), "vec_id": pa.array(out_v, kind), "score": pa.array(out_s, pa.float64())})
 
     return run

@@ -368,6 +368,14 @@ def test_nearest_neighbours_of_odd_vectors(spark):
     assert ann.Index(v.limit(0)).search(queries.F.col("id") % 50 == 0).collect() == []
 
 
+def test_repeated_query_rows_keep_their_neighbours(spark):
+    at = lambda d: [math.cos(d / 50), math.sin(d / 50)]
+    rows = [(50, at(0)), (50, at(0)), (50, at(0)), (50, at(40)), *[(i, at(i)) for i in range(1, 41)]]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id) for r in ann.Index(v, lists=1).search(queries.F.col("id") == 50, 5).collect()]
+    assert sorted(got) == sorted([*zip(range(1, 6), (1, 2, 3, 4, 5)), *zip(range(1, 6), (40, 39, 38, 37, 36))])
+
+
 # --- pipeline ---
 
 
