@@ -112,12 +112,61 @@ def test_language_of_odd_texts(spark):
 
 
 def test_rare_languages_are_learnt_beside_many(spark):
-    rows = [(i, f"common{i % 210}a common{i % 210}b", f"l{i % 210:03}") for i in range(420)] + [(999, "seldom heard", "zz")]
+    rows = [(i, f"common{i % 260}a common{i % 260}b", f"l{i % 260:03}") for i in range(520)] + [(999, "seldom heard", "zz")]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert len(model.langs) == 211 and model.scorer()("seldom heard")[0] == "zz"
-    rows = [(i, " ".join(f"w{i}x{j}".translate(str.maketrans("0123456789", "abcdefghij")) for j in range(50)) * 2, "big") for i in range(40)] + [(999, "seldom heard", "zz")]
-    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), vocabulary=200)
-    assert model.langs == ["big", "zz"] and model.scorer()("seldom heard")[0] == "zz"
+    assert len(model.langs) == 261 and model.scorer()(["seldom heard"])[0][0] == "zz"
+    rows = [(7, "copied text", "big")] * 5000 + [(999, "seldom heard", "zz")]  # copies under one id count once
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=1)
+    assert model.langs == ["big", "zz"] and model.scorer()(["seldom heard"])[0][0] == "zz"
+
+
+def test_letters_beside_numbers_have_a_language(spark):
+    train = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    texts = ["a\u00b2", "the\u00bd", "x\u2460y", "\u00b2\u00bd", "\u2167the", "9the9", "_the_", "\u4e2d", "\u0001"]
+    got = [r.lang_pred for r in langid.predict(docs_of(spark, [*enumerate(texts)]), model).orderBy("doc_id").collect()]
+    assert [g != "und" for g in got] == [any(c.isalpha() for c in t) for t in texts]
+    assert got[1] == got[4] == got[5] == got[6] == "en"
+
+
+def language_by_brute_force(train, texts, longest=5, least=2):
+    """The method on plain dictionaries."""
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    parts = lambda w, n: [("_" + w + "_")[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w) if n else [w]
+    langs = sorted({lang for _, lang in train})
+    counts = [{} for _ in range(longest + 1)]
+    for text, lang in set(train):
+        for w in letters(text):
+            for n in range(longest + 1):
+                for g in parts(w, n):
+                    counts[n].setdefault(g, {}).setdefault(lang, 0)
+                    counts[n][g][lang] += 1
+    logs = []
+    for n, table in enumerate(counts):
+        total = {lang: sum(c.get(lang, 0) for c in table.values()) for lang in langs}
+        logs.append({g: [math.log((c.get(lang, 0) + 0.5) / (total[lang] + 0.5 * len(table))) for lang in langs] for g, c in table.items() if n == 1 or sum(c.values()) >= least})
+    out = []
+    for text in texts:
+        words, sums = letters(text), [0.0] * len(langs)
+        for w in words:
+            for n in [0, *range(longest, 0, -1)]:
+                found = [logs[n][g] for g in parts(w, n) if g in logs[n]]
+                if found:
+                    sums = [s + sum(f[i] for f in found) / len(found) for i, s in enumerate(sums)]
+                    break
+        best = max(range(len(langs)), key=lambda i: (sums[i], -i))
+        out.append((langs[best], 1 / sum(math.exp(s - sums[best]) for s in sums)) if words else ("und", 0.0))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    train = [(r.text, r.lang) for r in rows if r.lang and r.text is not None and r.doc_id % 3 == 0]
+    texts = [" ".join((r.text or "").split()[:12]) for r in rows] + [f"{(r.text or '')[5:9]}q" for r in rows] + ["", "1", None, "\u0436\u0436", "z"]
+    model = langid.fit(spark.createDataFrame([(i, *x) for i, x in enumerate(train)], "doc_id long, text string, lang string"))
+    got = model.scorer()(texts)
+    for (lang, score), (want, its) in zip(got, language_by_brute_force(train, texts), strict=True):
+        assert math.isclose(score, its, rel_tol=1e-3) and (lang == want or math.isclose(score, 0.5, abs_tol=1e-3))
 
 
 # --- quality ---
