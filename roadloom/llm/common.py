@@ -38,7 +38,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as a table in the shared folder and reads it back: no lineage to recompute, and no copy on one executor only."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -9,10 +9,14 @@ its slots on average; ``plan`` picks chunks, and a distance over all slots, such
 and 10^5.  Pairs that share a key and are under the distance over all slots are compared in full: shingles (64-bit hashes) are
 counted in both sets.
 
-Pairs of a key are not listed.  First every node is compared with the smallest (by id) or the largest node that it shares most
-keys with, and what is confirmed is joined into components.  Then, of the keys whose nodes are not all in one component, nodes of different
-components are compared by signature in blocks of ``ROWS`` nodes, and only what passes, once for each pair, leaves the block.
-No pair that shares a key goes unexamined, there is no cap, and no task holds more than two blocks.
+Pairs of a key are not listed.  First every node is compared with one pivot, of the smallest and the largest node of each of
+its keys the one that it shares most keys with, and what is confirmed is joined into components.  Keys whose nodes are not
+all in one component stay open; components that open keys chain together are an area.  An area's nodes come together once,
+with their signatures and sets, whatever number of keys they share, and a task compares those of different components by
+signature and then in full, joining components as it goes; only links that join two components leave it.  An area
+of more than ``BLOCK_BYTES`` is dealt into parts, and two parts meet where an open key has nodes in both; while there are such areas and
+pivots still join a fair share, further rounds with other pivots come first.  No pair that shares a key goes
+unexamined unless its components are joined already, there is no cap, and no task holds more than two parts.
 
 Defined results: texts without words, null or empty, have an empty set and are linked with nothing; texts of fewer
 words than a shingle have one shingle, the whole sequence; rows without an id are linked with nothing and kept; rows
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, mix64, slices, stored
+from .common import Memo, as_bytes, discard, fresh_name, mix64, slices, stored
 
 SHINGLE = 5
 _RNG = np.random.default_rng(20240229)
@@ -38,7 +42,7 @@ _WORDS = _RNG.integers(0, 2**63, 2 * SHINGLE, np.uint64) * np.uint64(2) + np.uin
 _MULTIPLY = _RNG.integers(0, 2**63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, 1024, np.uint64)
 SLOTS = 252
-ROWS = 2048
+BLOCK_BYTES = 4 << 20
 BLOOM_BITS = 26
 
 
@@ -112,15 +116,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     parents = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("parent")), "parents")
     while True:
-        grand = parents.join(parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand")), "parent")
+        grand = parents.select("node", "parent").join(parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand")), "parent")
         near = both.join(grand.select(F.col("node").alias("b"), "grand"), "b").groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("low"))
         seen = grand.join(near, "node")
         hooks = seen.select("node", F.least("low", "grand").alias("to")).union(seen.select("parent", "low"))
-        found = hooks.groupBy("node").agg(F.min("to").alias("to")).join(parents, "node").select("node", F.least("to", "parent").alias("parent"), (F.col("to") < F.col("parent")).alias("moved"))
-        found = stored(found, "parents")
-        parents = found.select("node", "parent")
-        if not found.where("moved").limit(1).count():
-            return parents.withColumnRenamed("parent", "component")
+        found = hooks.groupBy("node").agg(F.min("to").alias("to")).join(parents.select("node", "parent"), "node").select("node", F.least("to", "parent").alias("parent"), (F.col("to") < F.col("parent")).alias("moved"))
+        former, parents = parents, stored(found, "parents")
+        discard(former)
+        if parents.where("moved").isEmpty():
+            discard(both)
+            return parents.select("node", F.col("parent").alias("component"))
 
 
 class Index:
@@ -128,7 +133,7 @@ class Index:
 
     def __init__(self, docs: DataFrame, percent: int, id_col: str, text_col: str):
         self.percent, self.plan = percent, plan(percent)
-        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        self.docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
         self.distance = farthest(percent)
 
         def sign(batches):
@@ -137,13 +142,14 @@ class Index:
                 sets = [shingler(t) for t in as_bytes(batch["text"])]
                 yield pa.RecordBatch.from_pydict({
                     "id": batch["id"],
+                    "tie": batch["tie"],
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "set": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     "sig": pa.array([signature(s, SLOTS).tobytes() for s in sets], pa.binary()),
                 })
 
         self.id_type = self.docs.schema["id"].dataType.simpleString()
-        self.signed = stored(self.docs.mapInArrow(sign, f"id {self.id_type}, n long, set binary, sig binary"), "signatures")
+        self.signed = stored(self.docs.mapInArrow(sign, f"id {self.id_type}, tie long, n long, set binary, sig binary"), "signatures")
         grouped = self.signed.where("n > 0 and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         # numbered in order of the smallest id, so that the smallest node of a group is its earliest document
         self.nodes = stored(grouped.repartitionByRange("rep", "set").sortWithinPartitions("rep", "set").withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -157,51 +163,97 @@ class Index:
         shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
         return stored(keyed.join(shared, "key"), "members")
 
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) those whose signatures and sizes allow the similarity."""
-        side = self.nodes.select("node", "sig", "n")
-        joined = pairs.join(side.toDF("a", "sig_a", "n_a"), "a").join(side.toDF("b", "sig_b", "n_b"), "b")
-        joined = joined.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        return joined.mapInArrow(_close(self.distance), "a long, b long")
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) those whose full sets are similar enough."""
-        pairs = stored(pairs, "candidates")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes.select("node", "rep", "set"), "node")
-        wanted = stored(wanted, "wanted")
+    def sets(self, members: DataFrame) -> DataFrame:
+        """(node, n, sig, shingles) of the members, made again from the texts that can hold them."""
+        wanted = stored(members.select("node").distinct().join(self.nodes, "node"), "wanted")
         # documents that can't be wanted are left out by a bit table of fixed size; the join is exact
         bit = F.pmod(F.xxhash64("rep"), F.lit(1 << BLOOM_BITS)) + 1  # Spark's bitmaps count from 1
         maps = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
         table = np.zeros(1 << BLOOM_BITS >> 3, np.uint8)
-        for r in maps.collect():
+        for r in maps.toLocalIterator():
             table[(r.bucket - 1) * len(r.bits) : r.bucket * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
         held = self.docs.sparkSession.sparkContext.broadcast(table)
         source = self.docs.select("id", F.pmod(F.xxhash64("id"), F.lit(1 << BLOOM_BITS)).alias("bit"), "text").where("id is not null")
         sets = source.mapInArrow(_sets(held), f"id {self.id_type}, set binary, shingles binary")
         # rows repeated with id and text are the same set
-        sets = wanted.join(sets.withColumnRenamed("id", "rep"), ["rep", "set"]).dropDuplicates(["node"]).select("node", "shingles")
-        sets = stored(sets, "sets")
-        joined = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
-        return stored(joined.mapInArrow(_similar(self.percent), "a long, b long"), "links")
+        joined = wanted.join(sets.withColumnRenamed("id", "rep"), ["rep", "set"]).dropDuplicates(["node"]).select("node", "n", "sig", "shingles")
+        found = stored(joined, "sets")
+        held.destroy()
+        discard(wanted)
+        return found
+
+    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) those that are near by signature and similar enough by their full sets."""
+        sides = [sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "shingles")]) for x in ("a", "b")]
+        joined = pairs.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
+        return joined.mapInArrow(_similar(self.percent, self.distance), "a long, b long")
+
+    def pivots(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b) of nodes and the smallest or largest node that they share most keys with."""
+        pairs = members.select(F.col("node").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a != b")
+        return self.confirmed(_likeliest(pairs), sets)
+
+    def more_pivots(self, placed: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
+        """Links of nodes of open keys and other pivots, of another component."""
+        order, one = F.xxhash64("node", F.lit(seed)), F.struct("node", "component")
+        ends = placed.groupBy("key").agg(F.array(F.min_by(one, order), F.max_by(one, order)).alias("ends"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        pairs = placed.join(ends, "key").select(F.col("node").alias("a"), "component", F.explode("ends").alias("end")).where("component != end.component")
+        return self.confirmed(_likeliest(pairs.select("a", F.col("end.node").alias("b"))), sets)
+
+    def placed(self, members: DataFrame, found: DataFrame) -> DataFrame:
+        """(key, node, component) of the members; a node without a link is its own component."""
+        return stored(members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
+
+    def areas(self, placed: DataFrame, sets: DataFrame) -> DataFrame:
+        """(node, component, area, part, parts) of the nodes of open keys."""
+        open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        sides = stored(placed.join(open_.select("key", "low"), "key").select("node", "component", "low").distinct(), "open")
+        area = components(sides.where("component != low").select(F.col("component").alias("a"), F.col("low").alias("b")))
+        nodes = sides.select("node", "component").distinct().join(area.select(F.col("node").alias("component"), F.col("component").alias("area")), "component")
+        nodes = stored(nodes.join(sets.select("node", (8 * F.col("n") + 2 * SLOTS).alias("bytes")), "node"), "areas")
+        discard(sides)
+        sizes = nodes.groupBy("area").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("parts"))
+        return nodes.join(sizes, "area").select("node", "component", "area", "parts", F.pmod(F.hash("node"), "parts").alias("part"))
+
+    def across(self, placed: DataFrame, areas: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b) of components, by the nodes of each area."""
+        small = areas.where("parts = 1").select("node", "component", "area", "part", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        large = areas.where("parts > 1")
+        held = placed.select("key", "node").join(large, "node")
+        met = held.select("key", F.col("part").alias("other")).distinct()
+        met = held.join(met, "key").select("node", "component", "area", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).distinct()
+        blocks = small.union(met).join(sets, "node")
+        return blocks.groupBy("area", "i", "j").applyInArrow(_across(self.distance, self.percent), "a long, b long")
 
     def classes(self) -> DataFrame:
-        """(node, component) of all nodes that have a link."""
+        """(node, component) of all nodes that share a key with another."""
         members = self.members()
-        pairs = members.select(F.col("node").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a != b")
-        # the pivot that shares most keys is the likeliest to be similar
-        best = pairs.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = self.confirmed(self.near(best))
-        found = components(links)
-        placed = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = stored(placed, "placed")
-        open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
-        sides = placed.join(open_.select("key", "size"), "key").join(self.nodes.select("node", "n", "sig"), "node")
-        parts = F.ceil(F.col("size") / ROWS).cast("int")
-        sides = sides.withColumn("part", F.pmod(F.hash("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        blocks = sides.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component", "n", "sig")
-        left = blocks.groupBy("key", "i", "j").applyInArrow(_across(self.plan, self.distance, self.percent), "a long, b long")
-        return components(links.union(self.confirmed(left)))
+        sets = self.sets(members)
+        links = stored(self.pivots(members, sets), "links")
+        seed = 0
+        while True:
+            found = components(links)
+            placed = self.placed(members, found)
+            areas = stored(self.areas(placed, sets), "parts")
+            top = areas.agg(F.max("parts").alias("parts"), F.count("*").alias("nodes")).first()
+            if (top.parts or 0) <= 1:
+                break
+            seed += 1
+            more = stored(links.union(self.more_pivots(placed, sets, seed)), "links")
+            gained = more.count() - links.count()
+            links = more
+            if gained < 0.05 * top.nodes:
+                break
+            discard(placed, areas)
+        last = components(stored(self.across(placed, areas, sets), "area-links"))
+        of = placed.select("node", "component").distinct().join(last.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+        return of.select("node", F.coalesce("to", "component").alias("component"))
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of each a the pair with the b that it is listed with most often."""
+    best = pairs.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _keying(plan: Plan):
@@ -214,47 +266,58 @@ def _keying(plan: Plan):
     return run
 
 
-def _close(distance: int):
-    def run(batches):
-        for batch in slices(batches, 8192):
-            a, b = _signatures(batch["sig_a"]), _signatures(batch["sig_b"])
-            held = pa.array((a != b).sum(axis=1) <= distance)
-            yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"]}).filter(held)
-
-    return run
-
-
 def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def _across(plan: Plan, distance: int, percent: int):
-    """Of two blocks of a key's nodes the pairs of different components that are near; each pair at its first shared key only."""
+def _across(distance: int, percent: int):
+    """Of two parts' nodes the links that join two components, each pair compared by signature and then in full."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        number, i, j = (k.as_py() for k in key)
-        table = table.sort_by("node")
-        part, node, component, n = (table[c].to_numpy() for c in ("part", "node", "component", "n"))
+        _, i, j = (k.as_py() for k in key)
+        table = table.sort_by("node").combine_chunks()
+        part, component, n = (table[c].to_numpy() for c in ("part", "component", "n"))
         sigs = _signatures(table["sig"])
+        flat = np.frombuffer(b"".join(table["shingles"].to_pylist()), np.uint64)
+        ids = np.unique(flat, return_inverse=True)[1]
+        begin = np.cumsum(n) - n
+        marked = np.zeros(len(flat), bool)
+        label = np.unique(component, return_inverse=True)[1]
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        found = [np.zeros((0, 2), np.int64)]
+        links = []
+
+        def similar(x: int, ys: np.ndarray) -> np.ndarray:
+            marked[ids[begin[x] : begin[x] + n[x]]] = True
+            both = np.empty(len(ys), np.int64)
+            cuts = np.append(np.flatnonzero(np.diff(np.cumsum(n[ys]) >> 20)) + 1, len(ys))
+            at = 0
+            for cut in cuts.tolist():
+                some = ys[at:cut]
+                ends = np.cumsum(n[some])
+                of = np.repeat(begin[some] - (ends - n[some]), n[some]) + np.arange(ends[-1] if len(ends) else 0)
+                both[at:cut] = np.add.reduceat(marked[ids[of]], ends - n[some], dtype=np.int64) if len(some) else 0
+                at = cut
+            marked[ids[begin[x] : begin[x] + n[x]]] = False
+            return ys[100 * both >= percent * (n[x] + n[ys] - both)]
+
         for at in range(0, len(left), 32):
             some = left[at : at + 32]
-            held = component[some][:, None] != component[right][None, :]
+            held = label[some][:, None] != label[right][None, :]
             if i == j:
                 held &= some[:, None] < right[None, :]
             held &= 100 * np.minimum(n[some][:, None], n[right][None, :]) >= percent * np.maximum(n[some][:, None], n[right][None, :])
-            x, y = np.nonzero(held)
-            for step in range(0, len(x), 1 << 15):
-                a, b = some[x[step : step + (1 << 15)]], right[y[step : step + (1 << 15)]]
-                near = (sigs[a] != sigs[b]).sum(axis=1) <= distance
-                found.append(np.stack([a[near], b[near]], axis=1))
-        pairs = np.concatenate(found)
-        if len(pairs):
-            keys = plan.keys(sigs)
-            same = keys[pairs[:, 0]] == keys[pairs[:, 1]]
-            pairs = pairs[keys[pairs[:, 0], same.argmax(axis=1)] == number]
-        ends = np.sort(node[pairs], axis=1)
+            for x, row in zip(some.tolist(), held, strict=True):
+                ys = right[row]
+                ys = ys[label[ys] != label[x]]  # what was joined since
+                for step in range(0, len(ys), 1 << 14):
+                    near = ys[step : step + (1 << 14)]
+                    near = near[(sigs[near] != sigs[x]).sum(axis=1) <= distance]
+                    good = similar(x, near) if len(near) else near
+                    if len(good):
+                        labels, first = np.unique(label[good], return_index=True)
+                        links += [(component[x], component[good[k]]) for o, k in zip(labels, first, strict=True) if o != label[x]]
+                        label[np.isin(label, labels)] = label[x]
+        ends = np.sort(np.array(links, np.int64).reshape(-1, 2), axis=1)
         return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
 
     return run
@@ -272,11 +335,13 @@ def _sets(held):
     return run
 
 
-def _similar(percent: int):
+def _similar(percent: int, distance: int):
     def run(batches):
         for batch in slices(batches, 256):
+            near = (_signatures(batch["sig_a"]) != _signatures(batch["sig_b"])).sum(axis=1) <= distance
+            batch = batch.select(["a", "b", "shingles_a", "shingles_b"]).filter(pa.array(near))
             held = []
-            for x, y in zip(batch["of_a"].to_pylist(), batch["of_b"].to_pylist(), strict=True):
+            for x, y in zip(batch["shingles_a"].to_pylist(), batch["shingles_b"].to_pylist(), strict=True):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 held.append(100 * both >= percent * (len(a) + len(b) - both))
@@ -285,19 +350,25 @@ def _similar(percent: int):
     return run
 
 
-def groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each document: id, ``n_shingles``, ``component_id`` (smallest id of its group) and ``kept`` (it is that id)."""
+def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, tie, n_shingles, component_id) of each row; ``tie`` is a hash of its text."""
     index = Index(docs, percent, id_col, text_col)
     classes = index.nodes.select("node", "set", "rep").join(index.classes(), "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = stored(classes, "classes")
     lowest = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = classes.join(lowest, "component").select(F.col("set").alias("its"), "component_id")
     found = index.signed.join(of_set, (F.col("set") == F.col("its")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
-    found = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    return found.select("id", "tie", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each document: id, ``n_shingles``, ``component_id`` (smallest id of its group) and ``kept`` (it is that id)."""
+    found = _grouped(docs, percent, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; all columns stay."""
-    gone = groups(docs, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone, tie = fresh_name(docs, "_gone"), fresh_name(docs, "_tie")
+    out = _grouped(docs, percent, id_col, text_col).where("id != component_id").select(F.col("id").alias(gone), F.col("tie").alias(tie)).distinct()
+    return docs.join(out, (F.col(id_col) == F.col(gone)) & (F.xxhash64(F.col(text_col)) == F.col(tie)), "left_anti")

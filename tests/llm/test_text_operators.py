@@ -309,6 +309,43 @@ def test_near_duplicates_against_brute_force(spark, percent):
     assert got == groups_by_brute_force(rows, percent)
 
 
+def test_near_duplicates_in_many_parts(spark, monkeypatch):
+    """An area of many parts, whose near copies are mostly just under the threshold, gives the same groups."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 20_000)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(500)}" for _ in range(200)]
+    rows = []
+    for i in range(150):
+        words = base[:]
+        for _ in range(rng.randrange(2, 6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows.append((500, " ".join(f"long{i}" for i in range(30_000))))
+    rows.append((501, rows[-1][1].replace("long7 ", "other ")))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(docs_of(spark, rows), 85).collect()}
+    assert got == groups_by_brute_force(rows, 85)
+
+
+def test_deduplication_judges_rows_of_one_id_by_their_texts(spark):
+    rows = [(1, "one two three four five six"), (5, "one two three four five six"), (5, "quite another text that stays here"), (6, "quite another text that stays here")]
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, _gone int, _TIE int")
+    got = sorted((r.doc_id, r.text) for r in neardup.deduplicate(docs).collect())
+    assert got == [rows[0], rows[2]]
+
+
+def test_recall_of_pairs_at_the_threshold():
+    """Pairs of exactly 85 and 80 % similarity share a key and pass the signature distance."""
+    rng = np.random.default_rng(5)
+    for percent, common, own in ((85, 170, 15), (80, 160, 20)):
+        p, most, lost = neardup.plan(percent), neardup.farthest(percent), 0
+        for _ in range(1500):
+            words = rng.integers(0, 2**63, common + 2 * own, np.uint64)
+            pair = np.stack([neardup.signature(np.unique(words[: common + own]), neardup.SLOTS), neardup.signature(np.unique(np.concatenate([words[:common], words[common + own :]])), neardup.SLOTS)])
+            keys = p.keys(pair)
+            lost += not ((keys[0] == keys[1]).any() and (pair[0] != pair[1]).sum() <= most)
+        assert lost <= 1
+
+
 def test_near_duplicates_of_odd_tables(spark):
     docs = docs_of(spark, [(None, "a b c"), (None, None), (1, "a b c"), (1, "a b c"), (2, "a b c")])
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in neardup.groups(docs).collect())
