@@ -9,7 +9,7 @@ Words are maximal runs of letters after lower-casing.  The model is fitted on a
 ``sample_docs`` distinct texts of each language, chosen by a hash of the text, so that copies count once whatever their
 ids.  All languages and all words of the sample are learnt; words and n-grams of two or more letters count from ``least``
 occurrences on.  Counting runs on the cluster; the driver and the executors hold sorted 64-bit hashes of words and n-grams with
-their log frequencies, of the sample only.  Prediction reads whole texts.
+their log frequencies, of the sample only; what is broadcast before is one row a language, which the model holds anyway.  Prediction reads whole texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; rows with a null language are no
 training rows; with no training rows at all every text is ``und``; a text with a letter has a learnt language, whatever
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, rows: Column | None = None, text_col: str = "text", lan
     parts = 1 << 20
     texts = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
     share = texts.select("lang", (F.floor(parts * F.least(F.lit(1.0), sample_docs / F.col("texts"))) + 1).alias("share"))
-    sample = known.join(share, "lang").where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(parts)) < F.col("share")).select("lang", "text").distinct()
+    sample = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(parts)) < F.col("share")).select("lang", "text").distinct()
     counts = stored(_grams(_counts(sample), longest), "language-counts")
     sizes = {r["size"]: r["keys"] for r in counts.groupBy("size").agg(F.countDistinct("key").alias("keys")).collect()}
     totals = counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()
