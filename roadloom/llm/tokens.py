@@ -10,9 +10,9 @@ document a null flag (u8), its doc_id (i64) and count of ids (u32), then the con
 the files, ``ranks.bin`` holds the token id (u32) of each rank.  Files are written under another name and renamed, so a
 task that is lost or runs twice does no harm.  Each file holds one range of doc_id, in ascending order.
 
-Texts are encoded piece by piece at ASCII white space, and a word apart from one final full stop or comma, with the
-pieces' ids remembered.  This equals encoding the whole text for tokenizers that drop white space and split letters from
-punctuation, such as ``word_bpe_49k.json``; with others pass ``pieces=False``.
+Texts are encoded piece by piece at ASCII white space, and printable ASCII words by runs of letters, digits and runs of other
+symbols, with the pieces' ids remembered from task to task of a Python worker.  This equals encoding the whole text for tokenizers that
+drop white space and split letters, digits and punctuation, such as ``word_bpe_49k.json``; with others pass ``pieces=False``.
 
 Defined results: null and empty texts hold the end id only; null ids sort first; rows with the same doc_id stand side by
 side; an empty table gives no files and no rows.
@@ -20,6 +20,8 @@ side; an empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import re
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -64,6 +66,11 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return (padded[at] | padded[at + 1] << 8 | padded[at + 2] << 16 | padded[at + 3] << 24) & masks if count else np.zeros(0, np.uint32)
 
 
+#: Words that fall apart into runs of letters, digits and runs of symbols; apostrophes and special tokens have rules of their own.
+PLAIN = re.compile(rb"[!-&(-~]+")
+PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+
+
 class Encoder:
     """Encodes texts with a tokenizer file, with a bounded memory of pieces."""
 
@@ -71,20 +78,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.pack = struct.Struct(f"<{self.kind.char}").pack
         self.pieces, self.most, self.known, self.former = pieces, most, {}, {}
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        suffix = getattr(self.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        # whether the model alone does for ASCII pieces: what comes before it must leave them as they are
+        probes = [*map(chr, [*range(33, 65), *range(91, 127)]), "the", "zqxjkv", "...", "--", "$$$", "!?)"]
+        self.direct = all(self.model_ids(p.encode()) == self._encode([p])[0] for p in probes)
+
+    def model_ids(self, piece: bytes) -> bytes:
+        """The ids of one ASCII piece by the tokenizer's model alone."""
+        found = self.model.tokenize(piece.decode())
+        return self.pack(found[0].id) if len(found) == 1 else b"".join([self.pack(t.id) for t in found])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of words of letters only, encoded as one text: each has one end-of-word id, its last."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
             return self._encode(words)
@@ -97,35 +114,59 @@ class Encoder:
         # ASCII capitals are the same to the tokenizer, but for the names of special tokens
         return (text if b"<|" in text else text.lower()).split()
 
+    def _learn(self, fresh: set[bytes]) -> None:
+        """Adds the ids of words that are not known yet."""
+        known, ids = self.known, self.model_ids
+        words, others = [], []
+        for w in fresh:
+            if self.direct and PLAIN.fullmatch(w) and b"<|" not in w and w == w.lower():
+                if w.isalpha():
+                    known[w] = ids(w)
+                    continue
+                parts = PARTS.findall(w)
+                for p in parts:
+                    if p not in known:
+                        known[p] = ids(p)
+                known[w] = b"".join([known[p] for p in parts])
+            else:
+                text = w.decode()
+                (words if text.isalpha() else others).append(text)
+        for some, encode in ((words, self._words), (others, self._encode)):
+            for at in range(0, len(some), 256):
+                known.update(zip([w.encode() for w in some[at : at + 256]], encode(some[at : at + 256]), strict=True))
+
     def batch(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian numbers."""
         if not self.pieces:
             return self._encode([(t or b"").decode() for t in texts])
-        known = self.known
-        if len(known) > self.most:  # what was used since the last time is kept, the rest forgotten
-            self.former, self.known = known, {}
-            known = self.known
+        if len(self.known) > self.most:  # what was used since the last time is kept, the rest forgotten
+            self.former, self.known = self.known, {}
+        known, former = self.known, self.former
         docs = [self._split(t) if t else [] for t in texts]
         fresh = set().union(*docs) - known.keys()
-        again = fresh & self.former.keys()
-        known.update(zip(again, map(self.former.__getitem__, again), strict=True))
-        fresh -= again
-        ended = {w: (w[:-1], w[-1:]) for w in fresh if len(w) > 1 and w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
-        new = [*({x for w in fresh for x in ended.get(w, (w,))} - known.keys())]
-        plain = [w.decode() for w in new]
-        for some, encode in (([w for w in plain if w.isalpha()], self._words), ([w for w in plain if not w.isalpha()], self._encode)):
-            for at in range(0, len(some), 4096):
-                known.update(zip([w.encode() for w in some[at : at + 4096]], encode(some[at : at + 4096]), strict=True))
-        known.update((w, known[a] + known[b]) for w, (a, b) in ended.items())
+        again = fresh & former.keys()
+        known.update(zip(again, map(former.__getitem__, again), strict=True))
+        self._learn(fresh - again)
         return [b"".join(map(known.__getitem__, d)) for d in docs]
 
 
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def shared_encoder(path: str, pieces: bool) -> Encoder:
+    """This process's encoder of the file."""
+    if (path, pieces) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, pieces] = Encoder(path, pieces)
+    return _ENCODERS[path, pieces]
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str, pieces: bool) -> DataFrame:
     """Of each document: ``id``, a hash of the text to order equal ids, and the ids, as a table in the shared folder."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
 
     def run(batches):
-        encoder = Encoder(tokenizer, pieces)
+        encoder = shared_encoder(tokenizer, pieces)
         end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
         for batch in slices(batches):
             ids = [x + end for x in encoder.batch(as_bytes(batch["text"]))]
