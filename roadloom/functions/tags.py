@@ -89,10 +89,10 @@ def environment_class(kind: str, value) -> Column:
 
 
 def duration(seconds) -> Column:
-    """``1h 2m 3s``, without leading parts that are zero."""
+    """``1h 2m 3s``, without the parts that are zero; the empty text for none."""
     s = F.floor(col(seconds) + 0.5).cast("bigint")
-    h, m = F.floor(s / 3600).cast("bigint"), F.floor(F.pmod(s, F.lit(3600)) / 60).cast("bigint")
-    return F.concat(F.when(h > 0, F.concat(h.cast("string"), F.lit("h "))).otherwise(""), F.when((h > 0) | (m > 0), F.concat(m.cast("string"), F.lit("m "))).otherwise(""), F.pmod(s, F.lit(60)).cast("string"), F.lit("s"))
+    parts = ((F.floor(s / 3600), "h "), (F.floor(F.pmod(s, F.lit(3600)) / 60), "m "), (F.pmod(s, F.lit(60)), "s"))
+    return F.concat(*[F.when(n != 0, F.concat(n.cast("bigint").cast("string"), F.lit(unit))).otherwise("") for n, unit in parts])
 
 
 def track_name(text) -> Column:
@@ -113,20 +113,20 @@ def json_escaped(text) -> Column:
     return out
 
 
-def incline(text) -> Column:
-    """Percent from ``5%``, ``-3 %`` or degrees."""
-    t = col(text)
-    number = F.regexp_extract(t, r"^\s*([+-]?[0-9]+[.]?[0-9]*)", 1).try_cast("double")
-    return F.when(F.contains(t, F.lit("°")), F.tan(F.radians(number)) * 100).otherwise(number)
+def incline(text, reverse=None) -> Column:
+    """The number of an incline tag up to its sign ``%`` or ``\u00b0``, turned round against the way's direction; 0 where there is none."""
+    first = F.split(F.coalesce(col(text), F.lit("")), "[ %\u00b0]", 2)[0]
+    number = F.coalesce(F.trim(first).try_cast("double"), F.lit(0.0))
+    return number if reverse is None else F.when(col(reverse), -number).otherwise(number)
 
 
-#: Bits of the triggers of a suspect place; fixed values.
-TRIGGERS = ("dead end", "dead start", "node access", "way access", "no turn", "no uturn", "inverse", "restriction", "bad restriction")
+#: Texts of the trigger bits of a suspect place, from the lowest bit; fixed values.
+TRIGGERS = ("dead-end", "dead-start", "node-block", "bad-access", "unkown-access", "sharp-exit", "sharp-entry", "sharp-link", "bad-tr")
 
 
 def trigger_text(bits) -> Column:
     b = col(bits)
-    return F.array_join(F.filter(F.array(*[F.when(b.bitwiseAND(F.lit(1 << i)) != 0, F.lit(t)) for i, t in enumerate(TRIGGERS)]), lambda x: x.isNotNull()), ", ")
+    return F.array_join(F.filter(F.array(*[F.when(b.bitwiseAND(F.lit(1 << i)) != 0, F.lit(t)) for i, t in enumerate(TRIGGERS)]), lambda x: x.isNotNull()), ",")
 
 
 def suspect_level(priority) -> Column:

@@ -198,20 +198,43 @@ class Profile:
             walk(e)
         return sorted(found)
 
-    def apply(self, df: DataFrame, outputs: list[str], context: str = "way", tags: str = "tags", reverse: Column | None = None) -> DataFrame:
+    def apply(self, df: DataFrame, outputs: list[str], context: str = "way", tags: str = "tags", reverse: Column | None = None, granted: Column | None = None, foreign: dict[str, str] | None = None) -> DataFrame:
         """``df`` with these variables of the context, 0 where the script has none.
 
-        ``reverse`` tells rows that go against the way's direction: the tag ``reversedirection`` is ``yes`` there.
+        ``reverse`` tells rows that go against the way's direction: the tag ``reversedirection`` is ``yes`` there.  ``granted``
+        does the same for the tag ``nodeaccessgranted``.  ``foreign`` names the columns that hold the other context's
+        variables, as ``{"way:cost": column}``; a variable that is read but not given is an error.
         """
-        now: dict[tuple[str, str], str] = {}
+        now: dict[tuple[str, str], str] = {tuple(k.split(":", 1)): c for k, c in (foreign or {}).items()}
         keep, wide = df.columns, df
         for number, (name, node) in enumerate(self.chains[context]):
             column = f"_{context}_{name}_{number}"
-            wide = wide.withColumn(column, to_column(node, now, tags, reverse))
+            wide = wide.withColumn(column, to_column(node, now, tags, {"reversedirection": reverse, "nodeaccessgranted": granted}))
             now[(context, name)] = column
         found = [F.col(now[(context, o)]) if (context, o) in now else F.lit(self.settings.get(o, 0.0)).cast("float") for o in outputs]
         return wide.select(*keep, *[c.alias(o) for c, o in zip(found, outputs, strict=True)])
 
+    def foreign_of(self, context: str) -> list[str]:
+        """The other contexts' variables that this one reads."""
+        return sorted({n for _, e in self.chains[context] for where, n in _variables(e) if where not in (context, "global")})
+
+    def apply_nodes(self, df: DataFrame, outputs: list[str], tags: str = "tags", way_tags: str = "way_tags", reverse: Column | None = None, granted: Column | None = None) -> DataFrame:
+        """Node variables of rows that hold a node's tags and those of the way it was reached by."""
+        read = self.foreign_of("node")
+        wide = df.withColumn("_reverse", reverse if reverse is not None else F.lit(False))
+        columns = {f"way:{n}": f"_foreign_{n}" for n in read}
+        ways = self.apply(wide, read, "way", way_tags, F.col("_reverse"))
+        ways = ways.withColumnsRenamed({n: columns[f"way:{n}"] for n in read}) if read else ways
+        return self.apply(ways, outputs, "node", tags, F.col("_reverse"), granted, columns).select(*df.columns, *outputs)
+
+
+def _variables(node: tuple):
+    if node[0] == "variable":
+        yield node[1:]
+    elif node[0] in ARITY:
+        for x in node[1:]:
+            yield from _variables(x)
+
 
 def compile_profile(text: str, parameters: dict[str, float] | None = None) -> Profile:
     script = parse(text, parameters)
@@ -229,21 +252,24 @@ def _truth(test: Column) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), F.lit(1.0)).otherwise(F.lit(0.0)).cast("float")
 
 
-def to_column(node: tuple, variables: dict[tuple[str, str], str], tags: str = "tags", reverse: Column | None = None) -> Column:
-    """The expression over the tags and the columns of earlier variables."""
+def to_column(node: tuple, variables: dict[tuple[str, str], str], tags: str = "tags", synthetic: dict[str, Column | None] | None = None) -> Column:
+    """The expression over the tags and the columns of earlier variables; ``synthetic`` tags are ``yes`` or nothing by a test of the row."""
     kind, args = node[0], node[1:]
     if kind == "number":
         return F.lit(args[0]).cast("float")
     if kind == "variable":
+        if args not in variables:
+            raise ScriptError(f"no column holds {args[0]}:{args[1]}")
         return F.col(variables[args])
     if kind == "tag":
-        if args[0] == "reversedirection":
-            return _truth(reverse if reverse is not None else F.lit(False)) if "yes" in args[1] else _truth(~(reverse if reverse is not None else F.lit(False)))
+        if args[0] in (synthetic or {}):
+            test = synthetic[args[0]] if synthetic[args[0]] is not None else F.lit(False)
+            return _truth(F.when(test, "yes").otherwise("").isin(*args[1]))
         return _truth(F.coalesce(F.col(tags)[args[0]], F.lit("")).isin(*args[1]))
     if kind == "value":
         text = F.nullif(F.col(tags)[args[0]], F.lit(""))
         return F.when(text.isNotNull(), F.coalesce(text.try_cast("float"), F.lit(0.0).cast("float"))).cast("float")
-    parts = [to_column(x, variables, tags, reverse) for x in args]
+    parts = [to_column(x, variables, tags, synthetic) for x in args]
     zero = F.lit(0.0).cast("float")
     if kind == "switch":
         return F.when(F.coalesce(parts[0] != zero, F.lit(False)), parts[1]).otherwise(parts[2])

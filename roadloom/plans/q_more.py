@@ -13,24 +13,26 @@ from .q_track import LAGGED, ORDER
 from .registry import query
 from .views import distance_sql, duck, scales_sql, turn_sql, view
 
-_A = "floor(event_id * 37 % 361) - 180.0"
+_A = "floor(event_id * 37 % 723) / 2 - 180.5"
 _LO, _HI = "(CASE WHEN event_id % 4 = 0 THEN -181.0 ELSE event_id * 13 % 180 - 179.0 END)", "(CASE WHEN event_id % 4 = 0 THEN 181.0 ELSE event_id * 29 % 180 + 0.5 END)"
+_EXIT, _BEFORE = "CASE WHEN event_id % 50 = 1 THEN 2 WHEN event_id % 50 = 2 THEN -1 ELSE 0 END", "CASE WHEN event_id % 5 = 3 THEN 9 WHEN event_id % 70 = 4 THEN 16 ELSE 0 END"
 
 
-@query(f"""SELECT event_id, CASE WHEN a <= -179 AND lo = -181 AND hi = 181 OR a >= 179 AND lo = -181 AND hi = 181 THEN 15 WHEN a <= -159 THEN 10 WHEN a <= -135 THEN 4
-WHEN a <= -45 THEN CASE WHEN a > -85 AND lo > -180 AND hi > -10 THEN 3 WHEN a < -95 AND hi < -30 AND lo < -180 THEN 4 WHEN a < -110 THEN 4 WHEN a > -60 THEN 3 ELSE 2 END WHEN a <= -21 THEN 3
-WHEN a <= -5 THEN CASE WHEN hi < 45 AND lo < -100 THEN 3 WHEN hi < 45 THEN 8 WHEN hi > 55 AND lo > -35 THEN 9 ELSE 1 END
+@query(f"""SELECT event_id, CASE WHEN b = 16 THEN 16 WHEN x > 0 THEN 13 WHEN x < 0 THEN 14 WHEN abs(a) <= 180 AND a <= -179 AND hi = 181 AND lo = -181 THEN 15 WHEN a < -159 THEN 10 WHEN a < -135 THEN 4
+WHEN a < -45 THEN CASE WHEN a < -95 AND hi < -30 AND lo < -180 THEN 4 WHEN a > -85 AND lo > -180 AND hi > -10 THEN 3 WHEN a < -110 THEN 4 WHEN a > -60 THEN 3 ELSE 2 END
+WHEN a < -21 THEN CASE WHEN b = 9 THEN 9 ELSE 3 END
+WHEN a < -5 THEN CASE WHEN lo < -100 AND hi < 45 THEN 3 WHEN lo >= -100 AND hi < 45 THEN 8 WHEN lo > -35 AND hi > 55 THEN 9 ELSE 1 END
 WHEN a < 5 THEN CASE WHEN lo > -30 THEN 9 WHEN hi < 30 THEN 8 ELSE 1 END
 WHEN a < 21 THEN CASE WHEN lo > -45 AND hi > 100 THEN 6 WHEN lo > -45 THEN 9 WHEN lo < -55 AND hi < 35 THEN 8 ELSE 1 END WHEN a < 45 THEN 6
-WHEN a < 135 THEN CASE WHEN a < 85 AND hi < 180 AND lo < 10 THEN 6 WHEN a > 95 AND lo > 30 AND hi > 180 THEN 7 WHEN a > 110 THEN 7 WHEN a < 60 THEN 6 ELSE 5 END WHEN a < 159 THEN 7 ELSE 11 END AS command
-FROM (SELECT event_id, {_A} AS a, {_LO} AS lo, {_HI} AS hi FROM events)""")
+WHEN a < 135 THEN CASE WHEN a < 85 AND hi < 180 AND lo < 10 THEN 6 WHEN a > 95 AND lo > 30 AND hi > 180 THEN 7 WHEN a > 110 THEN 7 WHEN a < 60 THEN 6 ELSE 5 END WHEN a < 159 THEN 7 WHEN a >= 179 AND a <= 180 AND hi = 181 AND lo = -181 THEN 15 ELSE 11 END AS command
+FROM (SELECT event_id, {_A} AS a, {_LO} AS lo, {_HI} AS hi, {_EXIT} AS x, {_BEFORE} AS b FROM events)""")
 def turn_command(spark, sf):
     """WIN12."""
-    e = table(spark, sf, "events").withColumns({"a": F.expr(_A), "lo": F.expr(_LO.replace("-181.0", "NULL")), "hi": F.expr(_HI.replace("181.0", "NULL"))})
-    return e.select("event_id", turns.command(F.col("a").cast("double"), F.col("lo").cast("double"), F.col("hi").cast("double")).alias("command"))
+    e = table(spark, sf, "events").withColumns({"a": F.expr(_A), "lo": F.expr(_LO.replace("-181.0", "NULL")), "hi": F.expr(_HI.replace("181.0", "NULL")), "x": F.expr(_EXIT), "b": F.expr(_BEFORE)})
+    return e.select("event_id", turns.command("a", F.col("lo").cast("double"), F.col("hi").cast("double"), "x", "b").alias("command"))
 
 
-@query(f"SELECT event_id, CASE WHEN a IS NULL THEN 0 WHEN abs(a) >= 179 THEN 15 WHEN a <= -159 THEN 10 WHEN a <= -110 THEN 4 WHEN a < -60 THEN 2 WHEN a <= -21 THEN 3 WHEN a < 21 THEN 1 WHEN a < 60 THEN 6 WHEN a <= 110 THEN 5 WHEN a < 159 THEN 7 ELSE 11 END AS command FROM (SELECT event_id, CASE WHEN px IS NOT NULL AND nx IS NOT NULL THEN {turn_sql('px', 'py', 'ilon', 'ilat', 'nx', 'ny')} END AS a FROM {LAGGED})")
+@query(f"SELECT event_id, CASE WHEN a IS NULL THEN 0 WHEN abs(a) >= 179 AND a <= 180 THEN 15 WHEN a < -159 THEN 10 WHEN a < -110 THEN 4 WHEN a <= -60 THEN 2 WHEN a < -21 THEN 3 WHEN a < 21 THEN 1 WHEN a < 60 THEN 6 WHEN a <= 110 THEN 5 WHEN a < 159 THEN 7 ELSE 11 END AS command FROM (SELECT event_id, CASE WHEN px IS NOT NULL AND nx IS NOT NULL THEN {turn_sql('px', 'py', 'ilon', 'ilat', 'nx', 'ny')} END AS a FROM {LAGGED})")
 def track_commands(spark, sf):
     """WIN10: commands along tracks without other ways."""
     s = K.steps(view(spark, sf, "track"), "track_id", ORDER)

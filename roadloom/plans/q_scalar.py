@@ -193,10 +193,10 @@ def tag_description(spark, sf):
     return tagged(spark, sf).groupBy("highway", "surface", "oneway", text.alias("text")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, concat(CASE WHEN s >= 3600 THEN concat(CAST(s // 3600 AS VARCHAR), 'h ') ELSE '' END, CASE WHEN s >= 60 THEN concat(CAST(s % 3600 // 60 AS VARCHAR), 'm ') ELSE '' END, CAST(s % 60 AS VARCHAR), 's') AS text FROM (SELECT user_id, CAST(floor(sum(floor(value)) + 0.5) AS BIGINT) AS s FROM events GROUP BY user_id)")
+@query("SELECT user_id, concat(CASE WHEN s >= 3600 THEN concat(CAST(s // 3600 AS VARCHAR), 'h ') ELSE '' END, CASE WHEN s % 3600 >= 60 THEN concat(CAST(s % 3600 // 60 AS VARCHAR), 'm ') ELSE '' END, CASE WHEN s % 60 > 0 THEN concat(CAST(s % 60 AS VARCHAR), 's') ELSE '' END) AS text FROM (SELECT user_id, CAST(sum(floor(value)) AS BIGINT) // 10 * 30 AS s FROM events GROUP BY user_id)")
 def duration_text(spark, sf):
     """STR-06."""
-    return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.sum(F.floor("value")).alias("s")).select("user_id", T.duration("s").alias("text"))
+    return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg((F.floor(F.sum(F.floor("value")) / 10) * 30).alias("s")).select("user_id", T.duration("s").alias("text"))
 
 
 @query("SELECT event_id, regexp_replace(props, '[^a-zA-Z0-9 ._\\-]+', '', 'g') AS name, replace(props, '\"', '&quot;') AS xml FROM events")
@@ -220,10 +220,8 @@ def suspect_levels(spark, sf):
     return view(spark, sf, "suspects").groupBy(level.alias("level")).agg(F.count("*").alias("n")).select("level", T.level_name("level").alias("name"), "n")
 
 
-_TRIGGERS = ", ".join(f"CASE WHEN triggers & {1 << i} <> 0 THEN '{t}' END" for i, t in enumerate(T.TRIGGERS))
-
-
-@query(f"SELECT triggers, array_to_string(list_filter([{_TRIGGERS}], lambda x: x IS NOT NULL), ', ') AS text, count(*) AS n FROM {duck('suspects')} GROUP BY ALL")
+@query(f"""SELECT triggers, concat_ws(',', CASE WHEN triggers & 1 > 0 THEN 'dead-end' END, CASE WHEN triggers & 2 > 0 THEN 'dead-start' END, CASE WHEN triggers & 4 > 0 THEN 'node-block' END, CASE WHEN triggers & 8 > 0 THEN 'bad-access' END,
+CASE WHEN triggers & 16 > 0 THEN 'unkown-access' END, CASE WHEN triggers & 32 > 0 THEN 'sharp-exit' END, CASE WHEN triggers & 64 > 0 THEN 'sharp-entry' END, CASE WHEN triggers & 128 > 0 THEN 'sharp-link' END, CASE WHEN triggers & 256 > 0 THEN 'bad-tr' END) AS text, count(*) AS n FROM {duck('suspects')} GROUP BY ALL""")
 def trigger_texts(spark, sf):
     """STR-12."""
     return view(spark, sf, "suspects").groupBy("triggers", T.trigger_text("triggers").alias("text")).agg(F.count("*").alias("n"))
@@ -233,3 +231,34 @@ def trigger_texts(spark, sf):
 def age_texts(spark, sf):
     """STR-07."""
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", T.age_text(F.col("event_id") % 5000).alias("text"))
+
+
+_INCLINE = "CASE event_id % 6 WHEN 0 THEN '5%' WHEN 1 THEN '-3 %' WHEN 2 THEN '7\u00b0' WHEN 3 THEN 'up' WHEN 4 THEN concat(CAST(event_id % 40 AS {text}), '.5%') END"
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 2 = 1 THEN -x ELSE x END AS incline FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 5.0 WHEN 1 THEN -3.0 WHEN 2 THEN 7.0 WHEN 4 THEN event_id % 40 + 0.5 ELSE 0.0 END::DOUBLE AS x FROM events)")
+def incline_texts(spark, sf):
+    """STR-10: percent or degrees as they stand, turned round against the way."""
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("t", F.expr(_INCLINE.format(text="string")))
+    return e.select("event_id", T.incline("t", F.col("event_id") % 2 == 1).alias("incline"))
+
+
+NODE_PROFILE = """
+---context:global
+assign limit = 20
+---context:way
+assign fast = or highway=motorway highway=primary
+assign cost = if reversedirection=yes then add fast 2 else fast
+---context:node
+assign busy = and way:fast greater v:lanes 2
+assign initialcost = if nodeaccessgranted=yes then way:cost else add way:cost ( multiply limit busy )
+"""
+
+
+@query(f"""SELECT way_id, part, CAST(fast AND try_cast(lanes AS DOUBLE) > 2 AS INT)::DOUBLE AS busy, (fast::INT + CASE WHEN part % 2 = 1 THEN 2 ELSE 0 END + CASE WHEN part % 3 = 0 THEN 0 WHEN fast AND try_cast(lanes AS DOUBLE) > 2 THEN 20 ELSE 0 END)::DOUBLE AS cost
+FROM (SELECT *, highway IN ('motorway', 'primary') AS fast FROM {duck('ways')})""")
+def exp_foreign(spark, sf):
+    """EXP19, JOIN37, EXP22: a node's expressions read the variables of the way it was reached by."""
+    nodes = tagged(spark, sf).select("way_id", "part", F.col("tags").alias("way_tags"), F.create_map(F.lit("lanes"), F.col("tags")["lanes"]).alias("tags"))
+    costs = dsl.compile_profile(NODE_PROFILE).apply_nodes(nodes, ["busy", "initialcost"], reverse=F.col("part") % 2 == 1, granted=F.col("part") % 3 == 0)
+    return costs.select("way_id", "part", F.col("busy").cast("double").alias("busy"), F.col("initialcost").cast("double").alias("cost"))
