@@ -20,6 +20,7 @@ side; an empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -74,7 +75,9 @@ PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 class Encoder:
     """Encodes texts with a tokenizer file, with a bounded memory of pieces."""
 
-    def __init__(self, path: str, pieces: bool = True, most: int = 200_000):
+    def __init__(self, path: str, pieces: bool = True, most: int = 400_000):
+        # a task is one thread's work; the library's thread pool only spins beside it.  The library reads this at each call
+        os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -101,7 +104,7 @@ class Encoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of words of letters only, encoded as one text: each has one end-of-word id, its last."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
             return self._encode(words)
