@@ -204,22 +204,26 @@ class Index:
         """(key, node, component) of the members; a node without a link is its own component."""
         return stored(members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
 
-    def areas(self, placed: DataFrame, sets: DataFrame) -> DataFrame:
-        """(node, component, area, part, parts) of the nodes of open keys."""
+    def open_sides(self, placed: DataFrame) -> DataFrame:
+        """(key, node, component, low) of the keys whose nodes are not all in one component; ``low`` is the key's smallest."""
         open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        sides = stored(placed.join(open_.select("key", "low"), "key").select("node", "component", "low").distinct(), "open")
+        return stored(placed.join(open_.select("key", "low"), "key"), "open")
+
+    def areas(self, sides: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(node, component, area) of the nodes of open keys, and (component, area, parts) of their components."""
         area = components(sides.where("component != low").select(F.col("component").alias("a"), F.col("low").alias("b")))
         nodes = sides.select("node", "component").distinct().join(area.select(F.col("node").alias("component"), F.col("component").alias("area")), "component")
-        nodes = stored(nodes.join(sets.select("node", (8 * F.col("n") + 2 * SLOTS).alias("bytes")), "node"), "areas")
-        discard(sides)
-        sizes = nodes.groupBy("area").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("parts"))
-        return nodes.join(sizes, "area").select("node", "component", "area", "parts", F.pmod(F.hash("node"), "parts").alias("part"))
+        nodes = stored(nodes, "areas")
+        sizes = nodes.join(sets.select("node", (8 * F.col("n") + 2 * SLOTS).alias("bytes")), "node").groupBy("area").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("parts"))
+        return nodes, stored(nodes.select("component", "area").distinct().join(sizes, "area"), "parts")
 
-    def across(self, placed: DataFrame, areas: DataFrame, sets: DataFrame) -> DataFrame:
+    def across(self, sides: DataFrame, nodes: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
         """Links (a, b) of components, by the nodes of each area."""
-        small = areas.where("parts = 1").select("node", "component", "area", "part", F.lit(0).alias("i"), F.lit(0).alias("j"))
-        large = areas.where("parts > 1")
-        held = placed.select("key", "node").join(large, "node")
+        alone = parts.where("parts = 1").select("area").distinct()
+        small = nodes.join(alone, "area", "left_semi").select("node", "component", "area", *[F.lit(0).alias(c) for c in ("part", "i", "j")])
+        # of larger areas the parts that a key has nodes in
+        keys = sides.select("key", F.col("low").alias("component")).distinct().join(parts.where("parts > 1"), "component").select("key", "area", "parts")
+        held = sides.select("key", "node", "component").join(keys, "key").withColumn("part", F.pmod(F.hash("node"), "parts"))
         met = held.select("key", F.col("part").alias("other")).distinct()
         met = held.join(met, "key").select("node", "component", "area", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).distinct()
         blocks = small.union(met).join(sets, "node")
@@ -234,18 +238,18 @@ class Index:
         while True:
             found = components(links)
             placed = self.placed(members, found)
-            areas = stored(self.areas(placed, sets), "parts")
-            top = areas.agg(F.max("parts").alias("parts"), F.count("*").alias("nodes")).first()
-            if (top.parts or 0) <= 1:
+            sides = self.open_sides(placed)
+            nodes, parts = self.areas(sides, sets)
+            if (parts.agg(F.max("parts")).first()[0] or 0) <= 1:
                 break
             seed += 1
             more = stored(links.union(self.more_pivots(placed, sets, seed)), "links")
             gained = more.count() - links.count()
             links = more
-            if gained < 0.05 * top.nodes:
+            if gained < 0.05 * nodes.count():
                 break
-            discard(placed, areas)
-        last = components(stored(self.across(placed, areas, sets), "area-links"))
+            discard(placed, sides, nodes, parts)
+        last = components(stored(self.across(sides, nodes, parts, sets), "area-links"))
         of = placed.select("node", "component").distinct().join(last.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
         return of.select("node", F.coalesce("to", "component").alias("component"))
 
