@@ -119,7 +119,8 @@ def within(x, y, ring: Column) -> Column:
 
 
 def segments_meet(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
-    """Whether two segments have a point in common."""
+    """Whether two segments of integer positions have a point in common."""
+    ax, ay, bx, by, cx, cy, dx, dy = (col(c).cast("bigint") for c in (ax, ay, bx, by, cx, cy, dx, dy))
 
     def side(px, py, qx, qy, rx, ry):
         return F.signum((col(qx) - col(px)) * (col(ry) - col(py)) - (col(rx) - col(px)) * (col(qy) - col(py)))
@@ -132,6 +133,93 @@ def segments_meet(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
     return ((s1 * s2 < 0) & (s3 * s4 < 0)) | ((s1 == 0) & inside(ax, ay, bx, by, cx, cy)) | ((s2 == 0) & inside(ax, ay, bx, by, dx, dy)) | ((s3 == 0) & inside(cx, cy, dx, dy, ax, ay)) | ((s4 == 0) & inside(cx, cy, dx, dy, bx, by))
 
 
+def meetings(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """How two segments meet: 0 not at all, 1 in one point, 2 along a stretch.  Exact on integers."""
+    ax, ay, bx, by, cx, cy, dx, dy = (col(c).cast("bigint") for c in (ax, ay, bx, by, cx, cy, dx, dy))
+    parallel = (bx - ax) * (dy - cy) == (by - ay) * (dx - cx)
+    # along a common line the shared box is the shared stretch
+    wide = F.least(F.greatest(ax, bx), F.greatest(cx, dx)) - F.greatest(F.least(ax, bx), F.least(cx, dx))
+    high = F.least(F.greatest(ay, by), F.greatest(cy, dy)) - F.greatest(F.least(ay, by), F.least(cy, dy))
+    meet = segments_meet(ax, ay, bx, by, cx, cy, dx, dy)
+    return F.when(~meet, 0).when(parallel & ((wide > 0) | (high > 0)), 2).otherwise(1)
+
+
+def on_segment(x, y, ax, ay, bx, by) -> Column:
+    """Whether a position lies on a segment, its ends included; exact on integers."""
+    x, y, ax, ay, bx, by = (col(c).cast("bigint") for c in (x, y, ax, ay, bx, by))
+    box = (x >= F.least(ax, bx)) & (x <= F.greatest(ax, bx)) & (y >= F.least(ay, by)) & (y <= F.greatest(ay, by))
+    return box & ((bx - ax) * (y - ay) == (by - ay) * (x - ax))
+
+
+def sides_of(points: Column, closed: bool) -> Column:
+    """Consecutive vertex pairs of a ring or of a line of structs x, y."""
+    if closed:
+        return edges_of(points)
+    return F.transform(F.sequence(F.lit(1), F.size(points) - 1), lambda i: F.struct(points[i - 1].alias("a"), points[i].alias("b")))
+
+
+def on_polyline(x, y, points: Column) -> Column:
+    return F.exists(sides_of(points, False), lambda e: on_segment(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))
+
+
+def crosses(ax, ay, bx, by, points: Column, closed: bool) -> Column:
+    """Whether a segment meets a side of a ring or a line."""
+    return F.exists(sides_of(points, closed), lambda e: segments_meet(ax, ay, bx, by, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))
+
+
+def length_in_ring(ax, ay, bx, by, ring: Column) -> Column:
+    """Metres of a segment that lie in a ring, the boundary included.
+
+    The segment is cut where it meets a side; of each piece the middle tells whether it lies inside.
+    """
+    ax, ay, bx, by = (col(c).cast("double") for c in (ax, ay, bx, by))
+    ux, uy = bx - ax, by - ay
+    square = ux * ux + uy * uy
+
+    def cuts(e):
+        vx, vy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        wx, wy = e["a"]["x"] - ax, e["a"]["y"] - ay
+        cross = ux * vy - uy * vx
+        along = lambda p: ((p["x"] - ax) * ux + (p["y"] - ay) * uy) / F.nullif(square, F.lit(0.0))
+        return F.when(cross != 0, F.array((wx * vy - wy * vx) / cross)).otherwise(F.array(along(e["a"]), along(e["b"])))
+
+    at = F.flatten(F.transform(edges_of(ring), cuts))
+    at = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(at, lambda t: (t > 0) & (t < 1)))))
+    inside = lambda t: _within_exact(ax + t * ux, ay + t * uy, ring)
+    share = F.aggregate(F.sequence(F.lit(1), F.size(at) - 1), F.lit(0.0), lambda s, i: s + F.when(inside((at[i - 1] + at[i]) / 2), at[i] - at[i - 1]).otherwise(0.0))
+    return share * distance(ax, ay, bx, by)
+
+
+def _within_exact(x, y, ring: Column) -> Column:
+    """``within`` for positions that are no integers: even-odd by the sides to the right, and the sides themselves."""
+    near = 1e-6
+
+    def side(e):
+        a, b = e["a"], e["b"]
+        return (b["x"] - a["x"]) * (y - a["y"]) - (x - a["x"]) * (b["y"] - a["y"])
+
+    box = lambda e: (x >= F.least(e["a"]["x"], e["b"]["x"]) - near) & (x <= F.greatest(e["a"]["x"], e["b"]["x"]) + near) & (y >= F.least(e["a"]["y"], e["b"]["y"]) - near) & (y <= F.greatest(e["a"]["y"], e["b"]["y"]) + near)
+    edges = edges_of(ring)
+    on = F.exists(edges, lambda e: (F.abs(side(e)) <= near * (F.abs(e["b"]["x"] - e["a"]["x"]) + F.abs(e["b"]["y"] - e["a"]["y"]))) & box(e))
+    wind = F.aggregate(edges, F.lit(0), lambda n, e: n + F.when((e["a"]["y"] <= y) & (e["b"]["y"] > y) & (side(e) > 0), 1).when((e["a"]["y"] > y) & (e["b"]["y"] <= y) & (side(e) < 0), -1).otherwise(0))
+    return on | (wind != 0)
+
+
+def elevation_between(first, second, share) -> Column:
+    """Elevation (quarter metres) at a share of the way; null where an end has none."""
+    return (col(first) * (1.0 - col(share)) + col(second) * col(share)).cast("smallint")
+
+
+def braking_speed(limit, power: float = 6584.3621399176955, roll: float = 232.0, air: float = 0.4, recovery: float = 0.7) -> Column:
+    """The speed from which a vehicle at constant power coasts towards a limit (m/s), by five steps of Newton's method.
+
+    The power is that of the default car at its balance speed, with the stand-by power.
+    """
+    v0 = col(limit).cast("double")
+    goal = F.lit(power) / v0 + air * recovery * v0 * v0 + (1 - recovery) * roll
+    return F.aggregate(F.sequence(F.lit(1), F.lit(5)), v0 * 0.8, lambda v, _: v - (power / v + air * recovery * v * v - goal) / (2 * recovery * air * v - power / (v * v)))
+
+
 def length_in_circle(ax, ay, bx, by, cx, cy, radius) -> Column:
     """Metres of a segment that lie in a circle."""
     kx, ky = scales(cy)

@@ -71,10 +71,15 @@ def with_routes(ways: DataFrame, relations: DataFrame, state: str = "state", rou
     return with_pseudo_tags(ways, tags, "wid")
 
 
+#: Bits of modes that a restriction excepts; fixed values.
+EXCEPTIONS = (("bicycle", 1), ("motorcar", 2), ("agricultural", 4), ("forestry", 4), ("psv", 8), ("hgv", 16))
+
+
 def restrictions(relations: DataFrame) -> DataFrame:
-    """One row for each restriction tag: key, value, and the mask of excepted modes (bicycle 1, motorcar 2, agricultural 4, forestry 8, hgv 16)."""
+    """One row for each restriction tag: key, value, and the mask of excepted modes."""
     rows = relations.select("rid", "tags", F.explode(F.map_entries("tags")).alias("e")).where((F.col("e.key") == "restriction") | F.col("e.key").startswith("restriction:"))
-    mask = reduce(lambda a, b: a + b, [F.when(F.contains(F.coalesce(F.col("tags")["except"], F.lit("")), F.lit(m)), 1 << i).otherwise(0) for i, m in enumerate(("bicycle", "motorcar", "agricultural", "forestry", "hgv"))])
+    named = F.coalesce(F.col("tags")["except"], F.lit(""))
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.contains(named, F.lit(mode)), bit).otherwise(0) for mode, bit in EXCEPTIONS])
     return rows.where(F.col("e.value").rlike("^(no|only)_") & (F.col("e.value") != "no_on_red")).select("rid", F.col("e.key").alias("key"), F.col("e.value").alias("value"), mask.alias("exceptions"))
 
 
@@ -131,8 +136,48 @@ def with_elevation(nodes: DataFrame, raster: DataFrame, cell: int, fallback: Dat
     return joined.groupBy("nid").agg(F.when(F.count("ele") == 4, F.sum(F.col("_w") * F.col("ele"))).alias("ele"))
 
 
-def turn_forbidden(turns: DataFrame, rules: DataFrame) -> DataFrame:
-    """``forbidden`` of turns (via, from_id, to_id): an ``only`` rule for another way beats a ``no`` rule."""
+def restriction_pairs(relations: DataFrame) -> DataFrame:
+    """(rid, from_wid, to_wid, via_nid) of all from and to members of a restriction with its via node; null members where a role is missing."""
+    role = lambda kind, name: F.transform(F.filter("members", lambda m: (m["type"] == kind) & (m["role"] == name)), lambda m: m["ref"])
+    return relations.select("rid", F.element_at(F.concat(role("node", "via"), F.array(F.lit(None).cast("long"))), 1).alias("via_nid"), F.explode_outer(role("way", "from")).alias("from_wid"), role("way", "to").alias("_to")).select("rid", "from_wid", F.explode_outer("_to").alias("to_wid"), "via_nid")
+
+
+def restriction_legs(rules: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rules (rid, key, value, from_wid, to_wid, via_nid) at a known via node, with the position before it and behind it.
+
+    A way is followed as it is mapped: towards the via node for ``from``, away from it for ``to``, the other way only where it
+    ends there.  ``valid`` says that both legs are found, that the kind is known and that the key is plain; ``sound`` that the ways end at
+    the via node too and that the turn's angle fits its name.
+    """
+    via = rules.join(nodes.select(F.col("nid").alias("via_nid"), F.col("ilon").alias("vx"), F.col("ilat").alias("vy")), "via_nid")
+    refs = ways.select("wid", F.size("nodes").alias("n"), F.posexplode("nodes").alias("pos", "nid")).join(nodes.select("nid", "ilon", "ilat"), "nid")
+    beside = refs.select("wid", F.col("pos").alias("p"), F.struct("ilon", "ilat").alias("at"))
+    sides = refs.select("wid", F.col("nid").alias("via_nid"), "pos", "n").join(beside, "wid").where(F.abs(F.col("p") - F.col("pos")) == 1)
+    ahead, order = F.col("p") < F.col("pos"), F.col("p")
+    # the way before the via node and the way behind it, the last of each, and for want of them the first on the other side
+    legs = sides.groupBy("wid", "via_nid").agg(
+        F.coalesce(F.max_by("at", F.when(ahead, order)), F.min_by("at", F.when(~ahead, order))).alias("source"),
+        F.coalesce(F.max_by("at", F.when(~ahead, order)), F.min_by("at", F.when(ahead, order))).alias("goal"),
+        F.bool_or((F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1)).alias("through"),
+    )
+    from_, to = (legs.select(F.col("wid").alias(f"{n}_wid"), "via_nid", F.col(c).alias(n), F.col("through").alias(f"_{n}")) for n, c in (("from", "source"), ("to", "goal")))
+    found = via.join(from_, ["from_wid", "via_nid"], "left").join(to, ["to_wid", "via_nid"], "left")
+    known = F.col("value").rlike("^(no|only)_") & ~F.contains("value", F.lit("on_red"))
+    angle, _ = geo.turn("from.ilon", "from.ilat", "vx", "vy", "to.ilon", "to.ilat")
+    kind = F.trim(F.split(F.regexp_replace("value", "^(no|only)_", ""), "@")[0])
+    # angles in degrees that fit a kind of turn; fixed values
+    fits = F.when(kind == "left_turn", (angle < -5) & (angle > -175)).when(kind == "right_turn", (angle > 5) & (angle < 175)).when(kind == "straight_on", F.abs(angle) < 85).when(kind == "u_turn", F.abs(angle) > 95).otherwise(kind.isin("entry", "exit"))
+    there = F.col("from").isNotNull() & F.col("to").isNotNull()
+    return found.withColumns({"valid": there & known & (F.col("key") == "restriction"), "sound": F.coalesce(there & known & ~F.col("_from") & ~F.col("_to") & fits, F.lit(False))}).drop("_from", "_to")
+
+
+def turn_forbidden(turns: DataFrame, rules: DataFrame, mode: str | None = None) -> DataFrame:
+    """``forbidden`` of turns (via, from_id, to_id): an ``only`` rule for another way beats a ``no`` rule.
+
+    With a ``mode`` rules that except it (column ``exceptions``) don't count.
+    """
+    if mode is not None:
+        rules = rules.where(F.col("exceptions").bitwiseAND(F.lit(dict(EXCEPTIONS)[mode])) == 0)
     r = rules.select(F.col("via").alias("_v"), F.col("from_id").alias("_f"), F.col("to_id").alias("_t"), "positive")
     j = turns.join(r, (F.col("via") == F.col("_v")) & (F.col("from_id") == F.col("_f")), "left")
     same = F.col("to_id") == F.col("_t")

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; one of our own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="roadloom-"))
-    return df.checkpoint()
+from .tables import discard, stored
 
 
 def k_hops(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
@@ -25,27 +17,39 @@ def k_hops(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     return best
 
 
-def least_costs(edges: DataFrame, sources: DataFrame, bound: float | None = None, every: int = 4, rounds: int = 10_000) -> DataFrame:
+def least_costs(edges: DataFrame, sources: DataFrame, bound: float | None = None, penalties: DataFrame | None = None, every: int = 8) -> DataFrame:
     """(req, node, cost, hops, prev): least costs from each request's sources, by relaxing a frontier of improved labels.
 
-    Ties go to fewer hops, then the smaller predecessor.  ``bound`` drops labels that cost more.
+    Ties go to fewer hops, then the smaller predecessor.  ``bound`` drops labels that cost more.  ``penalties`` (req, src, dst, times)
+    add an edge's weight so many times for a request.  Edges are read in every round, so they should be a stored table.
     """
-    labels = _cut(sources.select("req", "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("prev")))
-    frontier = labels
-    for number in range(1, rounds + 1):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("req", F.col("dst").cast("long").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").cast("long").alias("prev"))
+    labels = stored(sources.select("req", "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("prev")), "labels")
+    frontier, number = labels, 0
+    while True:
+        step = frontier.join(edges, F.col("node") == F.col("src"))
+        weight = F.col("weight")
+        if penalties is not None:
+            step = step.join(penalties.select("req", "src", "dst", "times"), ["req", "src", "dst"], "left")
+            weight = weight * (1.0 + F.coalesce("times", F.lit(0)))
+        step = step.select("req", F.col("dst").cast("long").alias("node"), (F.col("cost") + weight).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").cast("long").alias("prev"))
         if bound is not None:
             step = step.where(F.col("cost") <= bound)
-        best = step.groupBy("req", "node").agg(F.min(F.struct("cost", "hops", "prev")).alias("n")).select("req", "node", "n.*")
-        old = labels.select("req", "node", F.struct("cost", "hops", "prev").alias("o"))
-        better = best.join(old, ["req", "node"], "left").where(F.col("o").isNull() | (F.col("cost") < F.col("o.cost")) | ((F.col("cost") == F.col("o.cost")) & (F.struct("hops", F.coalesce("prev", F.lit(-1))) < F.struct("o.hops", F.coalesce("o.prev", F.lit(-1)))))).drop("o")
-        frontier = _cut(better)
-        if not frontier.limit(1).count():
-            return labels
-        labels = labels.join(frontier.select("req", "node"), ["req", "node"], "left_anti").unionByName(frontier)
+        rows = step.withColumn("new", F.lit(True)).unionByName(labels.withColumn("new", F.lit(False)))
+        # a node's labels meet once: the best of them, older ones first, goes on if it is new
+        best = rows.groupBy("req", "node").agg(F.min(F.struct("cost", "hops", F.coalesce("prev", F.lit(-1)).alias("prev"), "new")).alias("n")).where("n.new")
+        frontier = stored(best.select("req", "node", "n.cost", "n.hops", F.nullif("n.prev", F.lit(-1)).alias("prev")), "frontier")
+        if frontier.isEmpty():
+            return _least(labels)
+        number += 1
+        labels = labels.unionByName(frontier)
         if number % every == 0:
-            labels = _cut(labels)
-    return labels
+            labels = stored(_least(labels), "labels")
+
+
+def _least(labels: DataFrame) -> DataFrame:
+    """Of each node the label that was found last, which is its best."""
+    best = labels.groupBy("req", "node").agg(F.min(F.struct("cost", "hops", F.coalesce("prev", F.lit(-1)).alias("prev"))).alias("n"))
+    return best.select("req", "node", "n.cost", "n.hops", F.nullif("n.prev", F.lit(-1)).alias("prev"))
 
 
 def backtracked(labels: DataFrame, targets: DataFrame) -> DataFrame:
@@ -54,11 +58,11 @@ def backtracked(labels: DataFrame, targets: DataFrame) -> DataFrame:
     path, now = None, at.select("req", "target", F.col("hops").alias("seq"), "node", "cost", "prev")
     l = labels.select(F.col("req").alias("_q"), F.col("node").alias("_n"), F.col("cost").alias("_c"), F.col("prev").alias("_p"))  # noqa: E741
     while True:
-        now = _cut(now)
+        now = stored(now, "path")
         part = now.select("req", "target", "seq", "node", "cost")
         path = part if path is None else path.unionByName(part)
         rest = now.where("prev is not null")
-        if not rest.limit(1).count():
+        if rest.isEmpty():
             return path
         now = rest.join(l, (F.col("req") == F.col("_q")) & (F.col("prev") == F.col("_n"))).select("req", "target", (F.col("seq") - 1).alias("seq"), F.col("_n").alias("node"), F.col("_c").alias("cost"), F.col("_p").alias("prev"))
 
@@ -71,15 +75,17 @@ def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
 def islands(edges: DataFrame, points: DataFrame, limit: int = 500) -> DataFrame:
     """(req, n, island): whether fewer than ``limit`` nodes lead to a point; the count stops growing there."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
-    seen = _cut(points.select("req", "node"))
+    seen = stored(points.select("req", "node"), "seen")
     frontier = seen
     while True:
         small = seen.groupBy("req").count().where(F.col("count") < limit).select("req")
         step = frontier.join(small, "req", "left_semi").join(back, F.col("node") == F.col("src")).select("req", F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(seen, ["req", "node"], "left_anti"))
-        if not frontier.limit(1).count():
+        frontier = stored(step.join(seen, ["req", "node"], "left_anti"), "frontier")
+        if frontier.isEmpty():
             return seen.groupBy("req").agg(F.least(F.count("*"), F.lit(limit)).alias("n")).withColumn("island", F.col("n") < limit)
-        seen = _cut(seen.unionByName(frontier))
+        former, seen = seen, stored(seen.unionByName(frontier), "seen")
+        if former is not frontier:
+            discard(former)
 
 
 def routes(edges: DataFrame, requests: DataFrame, alternatives: int = 0) -> DataFrame:
@@ -87,41 +93,20 @@ def routes(edges: DataFrame, requests: DataFrame, alternatives: int = 0) -> Data
 
     Each alternative is searched with the links of earlier results at their double weight.
     """
-    found, weights = None, edges.select("src", "dst", "weight")
+    found = used = None
+    weights = stored(edges.select("src", "dst", "weight"), "edges")
     sources = requests.select("req", F.col("src").alias("node"))
     targets = requests.select("req", F.col("dst").alias("node"))
-    used = None
     for number in range(alternatives + 1):
-        if used is None:
-            labels = least_costs(weights, sources)
-        else:
-            # penalties belong to a request, so the request is part of the node
-            own = requests.select("req").join(weights).join(used, ["req", "src", "dst"], "left").withColumn("weight", F.col("weight") * F.when(F.col("times").isNull(), 1.0).otherwise(F.col("times") + 1.0))
-            labels = _per_request(own, sources)
-        path = backtracked(labels, targets).drop("target").withColumn("alternative", F.lit(number))
-        path = _cut(path)
+        path = backtracked(least_costs(weights, sources, penalties=used), targets).drop("target").withColumn("alternative", F.lit(number))
+        path = stored(path, "routes")
         found = path if found is None else found.unionByName(path)
         w = Window.partitionBy("alternative", "req").orderBy("seq")
         pairs = found.select("req", F.lag("node").over(w).alias("src"), F.col("node").alias("dst")).where("src is not null")
-        used = _cut(pairs.groupBy("req", "src", "dst").agg(F.count("*").alias("times")))
+        used = stored(pairs.groupBy("req", "src", "dst").agg(F.count("*").alias("times")), "penalties")
     return found
 
 
-def _per_request(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """``least_costs`` where each request has edges of its own (req, src, dst, weight)."""
-    labels = _cut(sources.select("req", "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("prev")))
-    frontier, edges = labels, _cut(edges)
-    while True:
-        step = frontier.join(edges.withColumnRenamed("req", "_q"), (F.col("req") == F.col("_q")) & (F.col("node") == F.col("src")))
-        step = step.select("req", F.col("dst").cast("long").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").cast("long").alias("prev"))
-        best = step.groupBy("req", "node").agg(F.min(F.struct("cost", "hops", "prev")).alias("n")).select("req", "node", "n.*")
-        old = labels.select("req", "node", F.col("cost").alias("_c"))
-        frontier = _cut(best.join(old, ["req", "node"], "left").where(F.col("_c").isNull() | (F.col("cost") < F.col("_c"))).drop("_c"))
-        if not frontier.limit(1).count():
-            return labels
-        labels = _cut(labels.join(frontier.select("req", "node"), ["req", "node"], "left_anti").unionByName(frontier))
-
-
 def elevation_cost(up, down, distance, cut_up: float = 1.5, cut_down: float = 1.5):
     """Elevation that counts after the free slope (percent of the distance) is taken off, upwards and downwards."""
     return F.greatest(up - distance * cut_up / 100, F.lit(0.0)), F.greatest(down - distance * cut_down / 100, F.lit(0.0))

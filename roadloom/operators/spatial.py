@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .tables import stored
 
 
 def covered(df: DataFrame, x: str, y: str, reach: Column, cell: int) -> DataFrame:
@@ -28,7 +29,8 @@ def cell_join(left: DataFrame, right: DataFrame, reach: Column, predicate: Colum
 
     ``how`` is inner, left, left_semi or left_anti; column names of the sides must differ.
     """
-    keyed = left.withColumn("_row", F.monotonically_increasing_id()) if how != "inner" else left
+    # row numbers are stored, as both uses of them must agree
+    keyed = stored(left.withColumn("_row", F.monotonically_increasing_id()), "rows") if how != "inner" else left
     a, b = covered(keyed, *left_xy, reach, cell), in_cells(right, *right_xy, cell)
     pairs = a.join(b, ["cell_x", "cell_y"]).where(predicate).drop("cell_x", "cell_y")
     if how == "inner":

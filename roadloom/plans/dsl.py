@@ -236,6 +236,31 @@ def _variables(node: tuple):
             yield from _variables(x)
 
 
+def access_type(profile: Profile, ways: DataFrame, tags: str = "tags") -> DataFrame:
+    """``ways`` with ``access``: 2 where a direction costs less than 9999 a metre, 1 less than 10000 (only for decoding), else 0."""
+    forward = profile.apply(ways.withColumn("_no", F.lit(False)), ["costfactor"], tags=tags, reverse=F.col("_no")).withColumnRenamed("costfactor", "_f")
+    both = profile.apply(forward.withColumn("_yes", F.lit(True)), ["costfactor"], tags=tags, reverse=F.col("_yes"))
+    least = F.when(F.col("_f") < 9999, F.col("_f")).otherwise(F.least("_f", "costfactor"))
+    return both.withColumn("access", F.when(least < 9999, 2).when(least < 10000, 1).otherwise(0)).drop("_f", "_no", "_yes", "costfactor")
+
+
+def start_exclusions(text: str) -> list[tuple[str, str]]:
+    """The tags of ways where no route may start, from a comment ``noStartWay=key,value;key,value`` of a script."""
+    for line in text.splitlines():
+        found = line.partition("#")[2].partition("noStartWay=")[2].split()
+        if found:
+            return [tuple(x.split(",", 1)) for x in found[0].split(";") if "," in x]
+    return []
+
+
+def may_start(tags: Column, excluded: list[tuple[str, str]]) -> Column:
+    """Whether a way with these tags may be where a route starts."""
+    out = F.lit(True)
+    for key, value in excluded:
+        out = out & (F.coalesce(tags[key], F.lit("")) != value)
+    return out
+
+
 def compile_profile(text: str, parameters: dict[str, float] | None = None) -> Profile:
     script = parse(text, parameters)
     constants: dict[tuple[str, str], float] = {}

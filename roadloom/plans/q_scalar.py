@@ -205,12 +205,13 @@ def text_escaping(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", T.track_name("props").alias("name"), T.xml_escaped("props").alias("xml"))
 
 
-@query(f"SELECT a.id, CAST(greatest(1, floor({distance_sql('a.ilon', 'a.ilat', 'b.ilon', 'b.ilat')} + 0.5)) AS INT) AS metres FROM {duck('places')} a JOIN {duck('sites')} b ON a.nation = b.nation AND b.id = 1 + a.id % 10")
+@query(f"SELECT a.id, CAST(greatest(1, floor({distance_sql('a.ilon', 'a.ilat', 'b.ilon', 'b.ilat')} + 0.5)) AS INT) AS metres FROM {duck('places')} a JOIN {duck('sites')} b ON b.id = 1 + a.id % (SELECT max(s_suppkey) FROM supplier)")
 def whole_metres(spark, sf):
     """GEO02, GEO03."""
     a = view(spark, sf, "places").select("id", "nation", F.col("ilon").alias("x1"), F.col("ilat").alias("y1"))
     b = view(spark, sf, "sites").select(F.col("id").alias("sid"), F.col("nation").alias("n2"), F.col("ilon").alias("x2"), F.col("ilat").alias("y2"))
-    return a.join(b, (F.col("nation") == F.col("n2")) & (F.col("sid") == 1 + F.col("id") % 10)).select("id", distance_int("x1", "y1", "x2", "y2").alias("metres"))
+    last = view(spark, sf, "sites").agg(F.max("id")).first()[0]
+    return a.join(b, F.col("sid") == 1 + F.col("id") % last).select("id", distance_int("x1", "y1", "x2", "y2").alias("metres"))
 
 
 @query(f"SELECT (prio + 1) // 2 * 2 AS level, CASE (prio + 1) // 2 * 2 WHEN 30 THEN 'motorway' WHEN 28 THEN 'trunk' WHEN 26 THEN 'primary' WHEN 24 THEN 'secondary' WHEN 22 THEN 'tertiary' ELSE 'none' END AS name, count(*) AS n FROM {duck('suspects')} GROUP BY ALL")

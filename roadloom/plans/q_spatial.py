@@ -113,11 +113,12 @@ _DX, _DY, _VX, _VY = f"((s.ilon - q.ilon) * {_KX})", f"((s.ilat - q.ilat) * {_KY
 _T = f"CASE WHEN {_DX} * {_DX} + {_DY} * {_DY} > 0 THEN greatest(0.0, least(1.0, ({_VX} * {_DX} + {_VY} * {_DY}) / ({_DX} * {_DX} + {_DY} * {_DY}))) ELSE 0.0 END"
 
 
-@query(f"SELECT p.id AS place, q.id AS seg, round({_T}, 6) AS share, round(sqrt(({_VX} - {_T} * {_DX}) * ({_VX} - {_T} * {_DX}) + ({_VY} - {_T} * {_DY}) * ({_VY} - {_T} * {_DY})), 3) AS metres FROM {duck('places')} p JOIN {duck('sites')} q ON q.id = p.id % 10 + 1 JOIN {duck('sites')} s ON s.id = q.id + 1 WHERE p.id % 10 < 9")
+@query(f"SELECT p.id AS place, q.id AS seg, round({_T}, 6) AS share, round(sqrt(({_VX} - {_T} * {_DX}) * ({_VX} - {_T} * {_DX}) + ({_VY} - {_T} * {_DY}) * ({_VY} - {_T} * {_DY})), 3) AS metres FROM {duck('places')} p JOIN {duck('sites')} q ON q.id = p.id % ((SELECT max(s_suppkey) FROM supplier) - 1) + 1 JOIN {duck('sites')} s ON s.id = q.id + 1")
 def segment_foot(spark, sf):
     """GEO13, GRF18, of places and the segments between neighbouring sites."""
     p, s = sides(spark, sf)
     q = s.select(F.col("site").alias("seg"), F.col("x2").alias("qx"), F.col("y2").alias("qy"))
-    j = p.where("place % 10 < 9").join(q, F.col("seg") == F.col("place") % 10 + 1).join(s, F.col("site") == F.col("seg") + 1)
+    last = view(spark, sf, "sites").agg(F.max("id")).first()[0]
+    j = p.join(q, F.col("seg") == F.col("place") % (last - 1) + 1).join(s, F.col("site") == F.col("seg") + 1)
     share, metres = geo.foot("x1", "y1", "qx", "qy", "x2", "y2")
     return j.select("place", "seg", F.round(share, 6).alias("share"), F.round(metres, 3).alias("metres"))

@@ -87,19 +87,48 @@ def decay_incline(spark, sf):
     return line.select("track_id", K.decayed(F.transform("p", lambda x: F.struct(x["rise"].alias("rise"), x["distance"].alias("distance")))).alias("incline"))
 
 
-@query()
+_LON = "concat(CAST((ilon - 180000000) // 1000000 AS VARCHAR), '.', lpad(CAST((ilon - 180000000) % 1000000 AS VARCHAR), 6, '0'))"
+_LAT = "concat(CAST((ilat - 90000000) // 1000000 AS VARCHAR), '.', lpad(CAST((ilat - 90000000) % 1000000 AS VARCHAR), 6, '0'))"
+
+
+@query(f"""SELECT track_id, concat('{{"type":"FeatureCollection","features":[{{"type":"Feature","properties":{{"name":"', track_id, '"}},"geometry":{{"type":"LineString","coordinates":[', string_agg(concat('[', {_LON}, ',', {_LAT}, ',', CAST(selev / 4.0 AS VARCHAR), ']'), ',' ORDER BY ts, event_id), ']}}}}]}}') AS text FROM {duck('track')} GROUP BY track_id""")
 def geojson_track(spark, sf):
     """SRC31."""
     return formats.geojson(view(spark, sf, "track"), "track_id", ORDER)
 
 
-@query()
+@query(f"""SELECT track_id, concat('<?xml version="1.0" encoding="UTF-8"?>', chr(10), '<gpx version="1.1"><trk><name>', track_id, '</name><trkseg>', chr(10), string_agg(concat('<trkpt lon="', {_LON}, '" lat="', {_LAT}, '"><ele>', CAST(selev / 4.0 AS VARCHAR), '</ele></trkpt>'), chr(10) ORDER BY ts, event_id), chr(10), '</trkseg></trk></gpx>') AS text FROM {duck('track')} GROUP BY track_id""")
 def gpx_track(spark, sf):
     """SRC28."""
     return formats.gpx(view(spark, sf, "track"), "track_id", ORDER)
 
 
-@query()
+@query(f"""SELECT track_id, concat('<?xml version="1.0" encoding="UTF-8"?>', chr(10), '<kml><Document><Placemark><name>', track_id, '</name><LineString><coordinates>', string_agg(concat({_LON}, ',', {_LAT}), chr(10) ORDER BY ts, event_id), '</coordinates></LineString></Placemark></Document></kml>') AS text FROM {duck('track')} GROUP BY track_id""")
 def kml_track(spark, sf):
     """SRC30."""
     return formats.kml(view(spark, sf, "track"), "track_id", ORDER)
+
+
+def _segments(spark, sf):
+    """The track's points as segments with costs, numbered in their order."""
+    w = Window.partitionBy("track_id").orderBy(*ORDER)
+    e = F.col("event_id")
+    t = view(spark, sf, "track").withColumn("seq", F.row_number().over(w))
+    return t.withColumns({"metres": e % 90 + 1, "costfactor": F.when(e % 6 != 0, (e % 7 + 4) / 4.0), "elevcost": e % 5, "turncost": e % 3, "nodecost": F.when(F.col("node_tags") != "", 20).otherwise(0), "initcost": F.lit(0), "time": F.col("seq") * 3, "energy": F.col("seq") * 70})
+
+
+_RUNS = f"""(SELECT *, sum(CASE WHEN lw IS NULL OR lw <> way_tags OR ln <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY seq) AS run FROM (SELECT *, lag(way_tags) OVER (PARTITION BY track_id ORDER BY seq) AS lw, lag(node_tags) OVER (PARTITION BY track_id ORDER BY seq) AS ln FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY ts, event_id) AS seq FROM {duck('track')})))"""
+
+
+@query(f"""SELECT track_id, concat('Longitude	Latitude	Elevation	Distance	CostPerKm	ElevCost	TurnCost	NodeCost	InitialCost	WayTags	NodeTags	Time	Energy', chr(10), string_agg(line, chr(10) ORDER BY run), chr(10)) AS text FROM (SELECT track_id, run, array_to_string([max_by({_LON}, seq), max_by({_LAT}, seq), CAST(CAST(floor(max_by(selev, seq) / 4.0) AS BIGINT) AS VARCHAR), CAST(sum(event_id % 90 + 1) AS VARCHAR),
+coalesce(CAST(CAST(floor(1000 * max_by((event_id % 7 + 4) / 4.0, seq) FILTER (event_id % 6 <> 0) + 0.5) AS BIGINT) AS VARCHAR), ''), CAST(sum(event_id % 5) AS VARCHAR), CAST(sum(event_id % 3) AS VARCHAR), CAST(sum(CASE WHEN node_tags <> '' THEN 20 ELSE 0 END) AS VARCHAR), '0', max_by(way_tags, seq), max_by(node_tags, seq), CAST(max(seq) * 3 AS VARCHAR), CAST(max(seq) * 70 AS VARCHAR)], '	') AS line FROM {_RUNS} GROUP BY track_id, run) GROUP BY track_id""")
+def message_table(spark, sf):
+    """PRJ15, AGG21, SRC32: the thirteen columns of runs with the same way tags, as text."""
+    return formats.message_lines(formats.message_rows(_segments(spark, sf), "track_id", "seq"), "track_id")
+
+
+@query(f"""SELECT nation, concat('{{"type":"FeatureCollection","features":[', string_agg(concat('{{"type":"Feature","properties":{{"name":"w', id, '","type":"', CASE id % 3 WHEN 0 THEN 'shaping' WHEN 1 THEN 'via' ELSE 'beeline' END, '"}},"geometry":{{"type":"Point","coordinates":[', {_LON}, ',', {_LAT}, CASE WHEN id % 4 > 0 THEN concat(',', CAST(id % 50 / 4.0 AS VARCHAR)) ELSE '' END, ']}}}}'), ',' ORDER BY id), ']}}') AS text FROM {duck('places')} GROUP BY nation""")
+def waypoint_info(spark, sf):
+    """SRC33."""
+    p = view(spark, sf, "places").select("nation", F.col("id").alias("seq"), "ilon", "ilat", F.when(F.col("id") % 4 > 0, F.col("id") % 50).alias("selev"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("name"), (F.col("id") % 3).cast("int").alias("wpttype"))
+    return formats.waypoint_info(p, "nation")

@@ -21,4 +21,4 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-from . import q_graph, q_more, q_relational, q_scalar, q_spatial, q_track  # noqa: E402, F401
+from . import q_graph, q_lines, q_more, q_relational, q_roads, q_rules, q_scalar, q_spatial, q_track  # noqa: E402, F401

@@ -181,14 +181,26 @@ def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pseudo_tags(spark: SparkSession, path: str) -> DataFrame:
-    """(section, id, tags) of a file with ``#####nodetags#####`` and ``#####waytags#####`` sections of ``;`` separated lines; empty is absent."""
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    w = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("section", F.last(F.nullif(F.regexp_extract("value", "^#####(\\w+)#####", 1), F.lit("")), True).over(w))
-    heads = marked.where(F.col("value").rlike("^(losmid|id);")).select("section", F.split("value", ";", -1).alias("names"))
-    rows = marked.where(F.col("value").rlike("^[0-9]+;")).select("section", F.split("value", ";", -1).alias("v")).join(heads, "section")
-    tags = F.map_filter(F.map_from_arrays(F.slice("names", F.lit(2), F.size("names") - 1), F.slice("v", F.lit(2), F.size("names") - 1)), lambda k, v: v != "")
-    return rows.select("section", F.col("v")[0].cast("bigint").alias("id"), tags.alias("tags"))
+    """(section, id, tags) of a file with ``#####nodetags#####`` and ``#####waytags#####`` sections of ``;`` separated lines; empty is absent.
+
+    A line's section follows from its place among the few section and header lines, so that no window over the whole file is needed.
+    Plain files are read in splits; a compressed one is one split.
+    """
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    marks = lines.where(F.col("value").startswith("#####")).orderBy("at").collect()
+    heads = {r["at"]: r["value"] for r in lines.where(F.col("value").rlike("^(losmid|id);")).collect()}
+    out = None
+    for number, mark in enumerate(marks):
+        end = marks[number + 1]["at"] if number + 1 < len(marks) else None
+        names = next((v.split(";") for at, v in sorted(heads.items()) if at > mark["at"] and (end is None or at < end)), None)
+        if names is None:
+            continue
+        mine = lines.where((F.col("at") > mark["at"]) & (F.col("at") < end if end is not None else F.lit(True)) & F.col("value").rlike("^[0-9]+;"))
+        v = F.split("value", ";", -1)
+        tags = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names[1:]]), F.slice(v, F.lit(2), F.lit(len(names) - 1))), lambda k, x: x != "")
+        rows = mine.select(F.lit(mark["value"].strip("#")).alias("section"), v[0].cast("bigint").alias("id"), tags.alias("tags"))
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else spark.createDataFrame([], "section string, id bigint, tags map<string,string>")
 
 
 def read_poly(spark: SparkSession, path: str) -> DataFrame:

@@ -19,16 +19,17 @@ def tail(spark: SparkSession, folder: str, schema: T.StructType, file_format: st
     return spark.readStream.schema(schema).format(file_format).option("maxFilesPerTrigger", most).load(folder)
 
 
-def published(stream: DataFrame, keys: list[str], path: str, checkpoint: str):
+def published(stream: DataFrame, keys: list[str], path: str, checkpoint: str, order: str):
     """A started query that applies each micro-batch of changes (with ``change``) to a versioned Parquet state under ``path``.
 
-    A batch that runs again writes the same version again, so its effect is once only.
+    Of several changes of a key in a batch the one with the largest ``order`` counts.  A batch that runs again writes the same version again, so its effect is once only.
     """
     from ..operators import diff
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        changes = batch.dropDuplicates(keys)
+        rest = [c for c in batch.columns if c not in keys]
+        changes = batch.groupBy(*keys).agg(F.max(F.struct(order, F.struct(*rest).alias("row"))).alias("m")).select(*keys, "m.row.*").drop(order)
         state = changes.where("change != 'delete'").drop("change") if number == 0 else diff.applied(spark.read.parquet(f"{path}/version={number - 1}"), changes, keys)
         state.write.mode("overwrite").parquet(f"{path}/version={number}")
 

@@ -279,10 +279,10 @@ def test_rasters_and_lists(spark, tmp_path):
 
 def test_published_deltas(spark, tmp_path):
     src = str(tmp_path / "in")
-    spark.createDataFrame([(1, "a", "insert"), (2, "b", "insert")], "k int, v string, change string").coalesce(1).write.parquet(src)
+    spark.createDataFrame([(1, 1, "a", "insert"), (2, 2, "x", "delete"), (2, 3, "b", "insert")], "k int, n int, v string, change string").coalesce(1).write.parquet(src)
     stream = sessions.tail(spark, src, spark.read.parquet(src).schema)
-    sessions.published(stream, ["k"], str(tmp_path / "state"), str(tmp_path / "ckpt")).awaitTermination()
-    spark.createDataFrame([(1, "", "delete"), (3, "c", "insert")], "k int, v string, change string").coalesce(1).write.mode("append").parquet(src)
+    sessions.published(stream, ["k"], str(tmp_path / "state"), str(tmp_path / "ckpt"), "n").awaitTermination()
+    spark.createDataFrame([(3, 5, "c", "insert"), (1, 4, "", "delete"), (3, 1, "old", "insert")], "k int, n int, v string, change string").coalesce(1).write.mode("append").parquet(src)
     stream = sessions.tail(spark, src, spark.read.parquet(src).schema)
-    sessions.published(stream, ["k"], str(tmp_path / "state"), str(tmp_path / "ckpt")).awaitTermination()
+    sessions.published(stream, ["k"], str(tmp_path / "state"), str(tmp_path / "ckpt"), "n").awaitTermination()
     assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "state/version=1")).collect()) == [(2, "b"), (3, "c")]
