@@ -50,7 +50,9 @@ def prepared(links: DataFrame) -> DataFrame:
     if "metres" not in there:
         out = out.withColumn("metres", geo.distance_int("x1", "y1", "x2", "y2"))
     fine = (F.col("costfactor") <= LINK_FORBIDDEN) & (F.coalesce("node_cost", F.lit(float(NODE_FORBIDDEN))) < NODE_FORBIDDEN) & F.col("area_cost").isNotNull()
-    return out.where(fine).select("link", "src", "dst", "x1", "y1", "x2", "y2", F.col("metres").cast("long").alias("metres"), F.col("costfactor").cast("double").alias("costfactor"), *[F.col(c).cast("boolean" if isinstance(v, bool) else "double").alias(c) for c, v in DEFAULTS.items()])
+    kx, ky = geo.scales("y1")
+    out = out.where(fine).withColumns({"kx": kx, "ky": ky})
+    return out.select("link", "src", "dst", "x1", "y1", "x2", "y2", "kx", "ky", ((F.col("x2") - F.col("x1")) * F.col("kx")).alias("dx"), ((F.col("y2") - F.col("y1")) * F.col("ky")).alias("dy"), F.col("metres").cast("long").alias("metres"), F.col("costfactor").cast("double").alias("costfactor"), *[F.col(c).cast("boolean" if isinstance(v, bool) else "double").alias(c) for c, v in DEFAULTS.items()])
 
 
 def _whole(x):
@@ -67,7 +69,9 @@ def advanced(rows: DataFrame, buffers: Buffers) -> DataFrame:
     """Labels of the links in the columns ``l`` (a struct), from the label columns and the position ``x0, y0`` of the last link's start (null at a start)."""
     l = lambda c: F.col(f"l.{c}")  # noqa: E731, E741
     start = F.col("x0").isNull()
-    _, cosine = geo.turn("x0", "y0", "l.x1", "l.y1", "l.x2", "l.y2")
+    rows = rows.withColumns({"_dx": (l("x1") - F.col("x0")) * l("kx"), "_dy": (l("y1") - F.col("y0")) * l("ky")})
+    size = F.sqrt((F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")) * (l("dx") * l("dx") + l("dy") * l("dy")))
+    cosine = F.when(size > 0, (F.col("_dx") * l("dx") + F.col("_dy") * l("dy")) / size).otherwise(1.0)
     change = (l("classifier") != 0) & (F.col("classifier") != 0) & (F.abs(l("classifier") - F.col("classifier")) > 0.0005)
     rows = rows.withColumns({
         "_turn": F.floor((1 - F.when(start, F.lit(1.0)).otherwise(cosine)) * l("turncost") + 0.2).cast("long"),
@@ -125,6 +129,8 @@ def search(links: DataFrame, requests: DataFrame, restrictions: DataFrame | None
         requests = _swapped(requests, {"src": "dst"})
         restrictions = None if restrictions is None else _swapped(restrictions, {"from_link": "to_link"})
     held = stored(prepared(links), "links")
+    if restrictions is not None:
+        restrictions = stored(restrictions.select(F.col("from_link").alias("_f"), F.col("to_link").alias("_t")), "restrictions")
     going = held.select(F.col("src").alias("at"), F.struct(*held.columns).alias("l"))
     places = held.select(F.col("dst").alias("target"), F.col("x2").alias("tx"), F.col("y2").alias("ty")).dropDuplicates(["target"])
     asked = requests.select("req", F.col("src").alias("node"), F.col("dst").cast("long").alias("target")).join(places, "target", "left")
@@ -138,8 +144,7 @@ def search(links: DataFrame, requests: DataFrame, restrictions: DataFrame | None
         step = frontier.join(going, F.col("node") == F.col("at"))
         step = step.where(F.col("x0").isNull() | (F.col("x0") != F.col("l.x2")) | (F.col("y0") != F.col("l.y2")))  # no turning round
         if restrictions is not None and labels is not None:
-            banned = restrictions.select(F.col("from_link").alias("_f"), F.col("to_link").alias("_t"))
-            step = step.join(banned, (F.col("link") == F.col("_f")) & (F.col("l.link") == F.col("_t")), "left_anti")
+            step = step.join(restrictions, (F.col("link") == F.col("_f")) & (F.col("l.link") == F.col("_t")), "left_anti")
         found = advanced(step, buffers)
         if penalties is not None:
             own = penalties.join(held.select("link", "metres"), "link").select("req", "link", (F.col("times") * F.col("metres")).cast("long").alias("_more"))
