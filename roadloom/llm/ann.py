@@ -6,7 +6,8 @@ gives the lists; every vector is in one list, stored by columns.  A query probes
 sample hold the share ``recall`` of the true neighbours (sparse, so farther than in the whole) of 200 of its vectors.  In a
 list, the distances over the first block of dimensions are summed for all candidates at once, then over the next block
 for those left: a candidate goes as soon as its partial distance, scaled to all dimensions, is beyond the
-k-th best distance so far by more than a hypothesis test with ``confidence`` allows.  The survivors are scored exactly,
+k-th best distance so far by more than a hypothesis test with ``confidence`` allows.  That distance is of the list's own
+candidates, brought down after each block; lists are scanned side by side, so none knows another's.  The survivors are scored exactly,
 in double precision on the vectors as they came.
 
 Lists longer than ``list_rows`` are split, so no task gathers a list that holds a large share of all rows; of each
@@ -158,9 +159,9 @@ def scan(x: np.ndarray, q: np.ndarray, limit: float, k: int, confidence: float)
         part += ((block - q[at : at + BLOCK, None]) ** 2).sum(axis=0)
         done = min(size, at + BLOCK)
         if done < size:
-            if limit == np.inf and len(left) > k:  # a first limit from the nearest so far, taken in full
+            if len(left) > k:  # the nearest so far, taken in full, bring the limit down after each block
                 near = left[np.argpartition(part, k - 1)[:k]]
-                limit = ((x[:, near] - q[:, None]) ** 2).sum(axis=0).max()
+                limit = min(limit, ((x[:, near] - q[:, None]) ** 2).sum(axis=0).max())
             held = part * (size / done) <= limit * (1 + confidence / np.sqrt(done)) ** 2 + 1e-9
         else:
             held = part <= limit * (1 + 1e-9) + 1e-9

@@ -2,7 +2,8 @@
 
 The word windows of the benchmark items go to every executor as a hash set.  The size of the benchmark is
 checked first: beyond ``block_bytes`` of text the items are dealt into blocks, the documents are scanned once
-for each block and the hits of a document are merged, so what is broadcast stays bounded.
+for each block and the hits of a document are merged.  Driver and executors hold one block at a time: a scan's hits are written
+before the next block is made.
 
 A window is ``n`` consecutive words of an item; an item of fewer words, but not none, is one window.  Words are
 compared after lower-casing A-Z.  Candidates found by hash are verified word by word.
@@ -19,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import WORD, Memo, as_bytes, row_key, slices, words_of
+from .common import WORD, Memo, as_bytes, fresh_name, row_key, slices, stored, words_of
 
 P = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "n_words long, n_hit long, spans array<struct<start:long,stop:long>>, items array<string>"
@@ -102,23 +104,25 @@ def merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_bytes: int):
-    """A broadcast of ``Windows`` for each block of at most about ``block_bytes`` of item text."""
-    spark = benchmark.sparkSession
+def _dealt(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[int, DataFrame]:
+    """The number of blocks of at most about ``block_bytes`` of item text, and the items."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = max(1, -(-total // block_bytes))
-    for b in range(count):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == b) if count > 1 else items
-        yield spark.sparkContext.broadcast(Windows([(r.item, bytes(r.text)) for r in part.collect()], n))
+    return max(1, -(-total // block_bytes)), items
+
+
+def _block(items: DataFrame, number: int, count: int, n: int):
+    """A broadcast of the ``Windows`` of one block."""
+    part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == number) if count > 1 else items
+    return items.sparkSession.sparkContext.broadcast(Windows([(r.item, bytes(r.text)) for r in part.collect()], n))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """Of each document: id, ``n_words``, ``n_hit`` (words inside a window's occurrence), ``spans`` of hit words and ``items``."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = source.schema["id"].dataType.simpleString()
-    tables = list(blocks(benchmark, item_col, "text", n, block_bytes))
-    if len(tables) > 1:
+    count, items = _dealt(benchmark, item_col, "text", block_bytes)
+    if count > 1:
         source = source.withColumn("row", row_key("id", "text"))
 
     def scanning(windows):
@@ -136,11 +140,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
         return run
 
-    if len(tables) == 1:
-        return source.mapInArrow(scanning(tables[0]), f"id {ids}, {FOUND}").withColumnRenamed("id", id_col)
+    if count == 1:
+        return source.mapInArrow(scanning(_block(items, 0, 1, n)), f"id {ids}, {FOUND}").withColumnRenamed("id", id_col)
     parts = None
-    for number, windows in enumerate(tables):
+    for number in range(count):
+        windows = _block(items, number, count, n)
         part = source.mapInArrow(scanning(windows), f"id {ids}, row long, {FOUND}").withColumn("block", F.lit(number))
+        part = stored(part, "hits")
+        windows.destroy()
         parts = part if parts is None else parts.unionByName(part)
     # A document has one row a block; equal rows have as many as they are, so their count is kept.
     hit = F.aggregate(
@@ -166,26 +173,45 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", text_col: str = "text", item_col: str = "item_id", n: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` without the documents that hold a window (``mode='document'``), or with the hit spans cut from their texts (``'span'``).
 
-    All columns are kept, whatever their names.  Beyond one block, spans are cut block after block, which leaves no window either.
+    All columns are kept, whatever their names.  Beyond one block, a document's spans are gathered block after block and cut once.
     """
     if mode not in ("document", "span"):
         raise ValueError(f"mode {mode}")
     place = docs.columns.index(text_col)
+    count, items = _dealt(benchmark, item_col, "text", block_bytes)
+    marks = fresh_name(docs, "_marks")
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
-    def filtering(windows):
+    def marking(windows, first):
         def run(batches):
             memo = Memo(_word_hash)
             for batch in slices(batches):
-                texts = as_bytes(batch.column(place))
-                found = [x[1] for x in windows.value.scan(texts, memo)]
+                found = [x[1] for x in windows.value.scan(as_bytes(batch.column(place)), memo)]
                 if mode == "document":
                     yield batch.filter(pa.array([not x for x in found], pa.bool_()))
-                else:
-                    new = pa.array([cut(t, x) if x else t for t, x in zip(texts, found, strict=True)], pa.large_binary()).cast(batch.schema.field(place).type)
-                    yield batch.set_column(place, batch.schema.field(place), new)
+                    continue
+                if not first:
+                    found = [merged([*x, *((y["start"], y["stop"]) for y in before)]) for x, before in zip(found, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+                    batch = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema([*batch.schema][:-1]))
+                column = pa.array([[{"start": a, "stop": b} for a, b in x] for x in found], spans)
+                yield pa.RecordBatch.from_arrays([*batch.columns, column], schema=pa.schema([*batch.schema, pa.field(marks, spans)]))
 
         return run
 
-    for windows in blocks(benchmark, item_col, "text", n, block_bytes):
-        docs = docs.mapInArrow(filtering(windows), docs.schema)
-    return docs
+    def cutting(batches):
+        for batch in slices(batches):
+            texts = as_bytes(batch.column(place))
+            new = [cut(t, [(y["start"], y["stop"]) for y in x]) if x else t for t, x in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            columns, fields = batch.columns[:-1], [*batch.schema][:-1]
+            columns[place] = pa.array(new, pa.large_binary()).cast(fields[place].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+
+    whole = docs.schema
+    wide = StructType([*whole.fields, StructField(marks, ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())])))])
+    for number in range(count):
+        windows = _block(items, number, count, n)
+        docs = docs.mapInArrow(marking(windows, number == 0), whole if mode == "document" else wide)
+        if count > 1:
+            docs = stored(docs, "marked")
+            windows.destroy()
+    return docs if mode == "document" else docs.mapInArrow(cutting, whole)

@@ -12,7 +12,7 @@ The classifier is fitted on the ``sample_docs`` labelled documents that come fir
 ``buckets`` features for each domain; both bounds are parameters.  Posteriors, totals and rates cover all documents.
 
 Defined results: null, empty and word-less texts have the posteriors of the labels' shares and no tokens; an id with several
-labels counts for each; null labels and labels that have no target are left out; a target without labels can't be
+labels counts for each, one with several texts with the smallest; null labels and labels that have no target are left out; a target without labels can't be
 met and is ignored; with no labels all posteriors are equal; rows with equal texts have equal rates; an empty
 table gives no rows.  Documents keep all their columns, held in one struct, so names can't clash.
 """
@@ -72,12 +72,17 @@ class Classifier:
         known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("domain")).where(F.col("id").isNotNull() & F.col("domain").isin(domains))
         sample = known.orderBy(F.xxhash64("id", F.lit("sample")), "id", "domain").limit(sample_docs)
         rated = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+        # an id with several texts counts with one of them, so the sample stays bounded
+        rated = rated.groupBy("id", "domain").agg(F.min("text").alias("text"))
         seen = stored(rated.select("domain", features_of(tokens_of(F.col("text")), buckets).alias("f")), "mixing-sample")
-        rows = [(r.domain, r.f) for r in seen.collect()]
-        kept = [d for d in domains if any(d == r[0] for r in rows)] or domains
-        if not rows:
+        got = seen.toArrow()
+        labels_ = got["domain"].to_pylist()
+        kept = [d for d in domains if d in set(labels_)] or domains
+        if not labels_:
             return cls(kept, [0.0] * len(kept), None, buckets)
-        bias, weights = softmax_fit([np.array(f, np.int64) - 1 for _, f in rows], np.array([kept.index(d) for d, _ in rows]), len(kept), buckets)
+        flat = got["f"].combine_chunks()
+        ends, values = flat.offsets.to_numpy(), flat.values.to_numpy().astype(np.int64) - 1
+        bias, weights = softmax_fit([values[a:b] for a, b in zip(ends, ends[1:], strict=False)], np.array([kept.index(d) for d in labels_]), len(kept), buckets)
         return cls(kept, bias.tolist(), [[round(x, 4) for x in w] for w in weights.tolist()], buckets)
 
     def posteriors(self, df: DataFrame) -> DataFrame:

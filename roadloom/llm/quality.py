@@ -7,7 +7,7 @@ many lines repeat; a word counts with its first 4, 5 and 6 letters too.  The fit
 documents that come first by a hash of their id; scoring reads whole texts.
 
 Defined results: null, empty and feature-less texts have score 0 and so the thresholds' own grades; several ratings of
-one id count as the lowest; null ratings are left out; without any rating every grade is equally likely; repeated rows
+one id count as the lowest, several texts as the smallest; null ratings are left out; without any rating every grade is equally likely; repeated rows
 are scored each by themselves; an empty table gives no rows.  Only the id and text columns are read.
 """
 
@@ -121,6 +121,8 @@ def fit(docs: DataFrame, ratings: DataFrame, levels: int, id_col: str = "doc_id"
     rated = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(grade_col).cast("int").alias("grade"))
     sample = rated.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(sample_docs)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    # an id with several texts counts with one of them, so the sample stays bounded
+    chosen = chosen.groupBy("id", "grade").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in slices(batches):

@@ -193,12 +193,13 @@ def _entries(digits: list[bytes]):
     return [np.concatenate(x) for x in (lead, rest, ids, ties, spans)]
 
 
-def _emit(out: dict, rows: dict[str, list]) -> pa.RecordBatch:
+def _emit(out: dict, rows: dict[str, list], groups: int) -> pa.RecordBatch:
     """Blocks and finished rows in one record batch."""
     a, b = len(out["dest"]), len(rows["id"])
-    # finished rows go to groups too: any will do
+    # finished rows go to groups too, more of them as the corpus grows: any will do
+    spread = max(4096, 4 * groups)
     return pa.RecordBatch.from_pydict({
-        "dest": pa.array(out["dest"] + [-1 - (x & 0xFFF) for x in rows["id"]], pa.int64()),
+        "dest": pa.array(out["dest"] + [-1 - x % spread for x in rows["id"]], pa.int64()),
         "digits": pa.array(out["digits"] + [None] * b, pa.binary()),
         "id": pa.array([None] * a + rows["id"], pa.int64()),
         "tie": pa.array([None] * a + rows["tie"], pa.int32()),
@@ -218,7 +219,7 @@ def _first_pass(depth: int, groups: int):
             keep, gone = order[lowest], order[~lowest]
             out = {"dest": [], "digits": []}
             _deal(lead[keep], rest[keep], ids[keep], ties[keep], spans[keep], groups, out)
-            return _emit(out, _by_document(ids[gone], ties[gone], spans[gone], False))
+            return _emit(out, _by_document(ids[gone], ties[gone], spans[gone], False), groups)
 
         for buffer, ends, ids, ties, places in pieces(batches, depth):
             first, last, anchor, digit = anchors(buffer, ends, depth)
@@ -270,7 +271,7 @@ def _second_pass(depth: int, groups: int):
             spans = _spans(at, np.full(len(at), depth))
             out = {"dest": [], "digits": []}
             _deal(lead[keep], rest[keep], ids[keep], ties[keep], spans[keep], groups, out)
-            return _emit(out, _by_document(ids[gone], ties[gone], spans[gone], False))
+            return _emit(out, _by_document(ids[gone], ties[gone], spans[gone], False), groups)
 
         for batch in slices(batches, 64):
             for key, tie, text, found in zip(batch["id"].to_pylist(), batch["tie"].to_pylist(), as_bytes(batch["text"]), batch["found"].to_pylist(), strict=True):

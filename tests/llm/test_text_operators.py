@@ -56,8 +56,23 @@ def test_decontamination_against_brute_force(spark):
         assert sorted(got) == sorted(want)
     kept = decontam.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns and kept.count() == sum(not n for _, _, n, _ in want)
-    cut = decontam.decontaminate(docs, benchmark, "span")
-    assert cut.count() == len(rows)
+    for size in (32 << 20, 60):
+        cut = sorted((str(r.doc_id), r.text or "") for r in decontam.decontaminate(docs, benchmark, "span", block_bytes=size).collect())
+        assert cut == sorted((str(i), cut_by_brute_force(t or "", windows)) for i, t in rows)
+
+
+def cut_by_brute_force(text, windows):
+    """The text without the stretches from the first to the last word of each run of hit words that windows cover."""
+    places = [m.span() for m in re.finditer(r"[0-9a-zA-Z\x80-\U0010ffff]+", text)]
+    words = [text[a:b].lower().encode() for a, b in places]
+    spans = []
+    for _, w in windows:
+        spans += [(i, i + len(w)) for i in range(len(words) - len(w) + 1) if words[i : i + len(w)] == w]
+    out, at = [], 0
+    for a, b in decontam.merged(spans):
+        out.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    return "".join([*out, text[at:]])
 
 
 def test_decontamination_of_empty_tables(spark):
@@ -232,6 +247,59 @@ def test_mixture_tells_of_targets_out_of_reach(spark):
     assert all(0.5 < r.rate < 2 for r in fitted.rates(docs).collect())
 
 
+def test_mixture_against_a_plain_solver(spark):
+    """The rates nearest to 1 whose totals meet the targets, by many small gradient steps on the multipliers."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    fitted = mixing.fit(docs, queries.domains(spark.read.parquet(f"{SF}/labels.parquet")), queries.MIXTURE, close=1e-6)
+    rows = fitted.rates(docs).collect()
+    t, p = np.array([r.n_tokens for r in rows], float), np.array([r.posteriors for r in rows])
+    goal = np.array([queries.MIXTURE[d] for d in fitted.classifier.domains]) * t.sum()
+    slope = np.zeros(p.shape[1])
+    for _ in range(60_000):
+        wrong = (t * np.maximum(0, 1 - p @ slope)) @ p - goal
+        slope += 0.5 * wrong / t.sum()
+    assert np.abs(wrong).max() < 1e-4 * t.sum()
+    assert np.abs(np.maximum(0, 1 - p @ slope) - np.array([r.rate for r in rows])).max() < 0.02
+
+
+def test_an_id_with_many_texts_counts_once(spark):
+    docs = spark.createDataFrame([(1, f"good text {i}") for i in range(300)] + [(2, "poor one")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "good", 2), (2, "poor", 0)], "doc_id long, domain string, grade int")
+    fitted = mixing.Classifier.fit(docs, labels, ["good", "poor"], "doc_id", "text", "domain", 8000, 1 << 10)
+    assert math.isclose(fitted.priors[0], fitted.priors[1], abs_tol=0.2)
+    model = quality.fit(docs, labels, 3)
+    assert quality.predict(docs, model, 1).count() == 301
+
+
+def test_quality_against_plain_scores(spark):
+    """Scores, grades and tails by plain loops; and no small step from the fitted model lowers its loss by much."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, queries.grades(spark.read.parquet(f"{SF}/labels.parquet")), 3)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in quality.predict(docs, model, 2).collect():
+        score = 0.0
+        for f in quality.features(texts[r.doc_id]):
+            for b in quality.buckets(f, model.bits):
+                score += model.weights[b]
+        tails = [1 / (1 + math.exp(-(score - c))) for c in model.thresholds]
+        assert math.isclose(r.score, score, abs_tol=1e-9) and math.isclose(r.expected_grade, sum(tails), abs_tol=1e-9) and math.isclose(r.tail_probability, tails[1], abs_tol=1e-9)
+    rng = np.random.default_rng(1)
+    rows, grades = [rng.choice(40, 5, replace=False) for _ in range(400)], []
+    for x in rows:
+        grades.append(int(np.clip(round(1 + 0.8 * sum(1 if b < 10 else -1 if b < 20 else 0 for b in x) + rng.normal(0, 0.3)), 0, 2)))
+    fitted = quality.Model.fit(rows, grades, 3, bits=6, steps=2000, decay=0.5)
+
+    def loss(weights, thresholds):
+        s = np.array([weights[x].sum() for x in rows])
+        upper = 1 / (1 + np.exp(-(np.append(thresholds, 40.0)[grades] - s)))
+        lower = np.where(np.array(grades) > 0, 1 / (1 + np.exp(-(thresholds[np.maximum(np.array(grades) - 1, 0)] - s))), 0.0)
+        return -np.log(np.maximum(upper - lower, 1e-9)).sum() + 0.25 * (weights**2).sum()
+
+    best = loss(fitted.weights, fitted.thresholds)
+    for _ in range(60):
+        assert loss(fitted.weights + rng.normal(0, 0.03, len(fitted.weights)) * (np.arange(64) < 40), fitted.thresholds + rng.normal(0, 0.03, 2)) > best - 0.05
+
+
 def test_gradient_steps_equal_numpy(spark):
     p = np.array([[0.9, 0.1], [0.2, 0.8], [0.5, 0.5]])
     steps = [[0.5, -2.0], [3.0, 0.1], [-0.2, 0.4]]
@@ -465,17 +533,57 @@ def test_repeated_query_rows_keep_their_neighbours(spark):
 # --- pipeline ---
 
 
-def test_pipeline_stages(spark):
+def pipeline_by_brute_force(stage, before, after, spark):
+    """Whether a stage did to its input what a plain version does."""
+    if stage == "language ID":
+        kept = {(r.doc_id, r.text) for r in after}
+        assert all((r.doc_id, r.text) in kept for r in before if r.lang is not None and sum(c.isalpha() for c in r.text or "") > 400)
+        assert not any(r.text is None or not any(c.isalpha() for c in r.text) for r in after)
+    elif stage == "near-duplicates":
+        want = groups_by_brute_force([(r.doc_id, r.text) for r in before], 80)
+        assert {r.doc_id for r in after} == {i for i, (_, c) in want.items() if c == i}
+    elif stage == "decontamination":
+        items = [words_of((r.text or "").encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+        windows = {tuple(w[i : i + 10]) for w in items if w for i in range(max(1, len(w) - 9))}
+        sizes = {len(w) for w in windows}
+        clean = lambda w: not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+        assert {r.doc_id for r in after} == {r.doc_id for r in before if clean(words_of((r.text or "").encode()))}
+    elif stage == "mixing":
+        copies = {i: sum(r.doc_id == i for r in after) for i in {r.doc_id for r in before}}
+        assert sum(copies.values()) == len(after) and max(copies.values()) <= 4
+    else:
+        from tokenizers import Tokenizer
+
+        plain, start = Tokenizer.from_file(queries.tokenizer_path()), 0
+        got = sorted(after, key=lambda r: r.start)
+        for r, d in zip(got, sorted(before, key=lambda d: d.doc_id), strict=True):
+            ids = [*plain.encode(d.text or "", add_special_tokens=False).ids, 1]
+            assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            start += len(ids)
+
+
+def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    first = {}
+    columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
-        path = f"/tmp/roadloom-test-{name.replace(' ', '-')}"
-        out.write.mode("overwrite").parquet(path)
-        first[name], docs = spark.read.parquet(path), spark.read.parquet(path)
-    columns = spark.read.parquet(f"{SF}/documents.parquet").columns
-    assert all(first[n].columns == columns for n, _ in corpus_pipeline.STAGES[:-1])
-    before = [(r.doc_id, r.text) for r in first["language ID"].collect()]
-    want = groups_by_brute_force(before, 80)
-    assert {r.doc_id for r in first["near-duplicates"].collect()} == {i for i, (_, c) in want.items() if c == i}
-    assert first["token ids"].count() == first["mixing"].count()
+        path = str(tmp_path / name.replace(" ", "-"))
+        stage(spark, docs, SF).write.parquet(path)
+        out = spark.read.parquet(path)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == columns
+        pipeline_by_brute_force(name, docs.collect(), out.collect(), spark)
+        docs = out
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows and an empty table."""
+    full = spark.read.parquet(f"{SF}/documents.parquet")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in full.schema.fields)
+    row = lambda **x: tuple(x.get(f.name) for f in full.schema.fields)
+    odd = spark.createDataFrame([row(), row(doc_id=900_001, text=""), row(text="the words and more words " * 9), *[row(doc_id=900_002, text="same words again and again in this one", lang="xx")] * 3], kinds)
+    for number, docs in enumerate((full.limit(120).unionByName(odd), full.limit(0))):
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{number}-{name.replace(' ', '-')}")
+            stage(spark, docs, SF).write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert docs.count() == 0 if number else docs.count() > 50
