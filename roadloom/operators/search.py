@@ -12,6 +12,8 @@ Links are rows (link, src, dst, x1, y1, x2, y2, costfactor) and any of the colum
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -22,10 +24,10 @@ from .tables import stored
 
 #: What a link has if it lacks a column: climb in metres (null: unknown); costs of a metre climbed beyond a free slope of so many percent;
 #: cost factors on the part that climbs or falls (0: the plain one); the class whose change costs ``initial``; whether it is for
-#: destinations only; the cost of its end node and of the areas it touches (null: forbidden).
+#: destinations only; the cost of its end node and of the areas it touches (null: forbidden); the road's priority, and the class of the crossing at its start.
 DEFAULTS = {
     "turncost": 0.0, "climb": 0.0, "uphillcost": 0.0, "downhillcost": 0.0, "uphillcutoff": 1.5, "downhillcutoff": 1.5, "uphill_costfactor": 0.0, "downhill_costfactor": 0.0,
-    "uphillmaxslope": 0.0, "downhillmaxslope": 0.0, "uphillmaxslopecost": 0.0, "downhillmaxslopecost": 0.0, "classifier": 0.0, "initial": 0.0, "destination": False, "node_cost": 0.0, "area_cost": 0.0,
+    "uphillmaxslope": 0.0, "downhillmaxslope": 0.0, "uphillmaxslopecost": 0.0, "downhillmaxslopecost": 0.0, "classifier": 0.0, "initial": 0.0, "destination": False, "node_cost": 0.0, "area_cost": 0.0, "priority": 0.0, "crossing": 0.0,
 }
 #: Costs from which a node, and cost factors from which a link can't be used; fixed values.
 NODE_FORBIDDEN, LINK_FORBIDDEN = 1_000_000, 9998
@@ -43,6 +45,20 @@ class Buffers:
     reduce: float = 0.0
 
 
+@dataclass(frozen=True)
+class Crossings:
+    """What a turn off a road of at least the priority ``high`` into one of at most ``low`` costs by the class of the crossing, to the left and to the right."""
+
+    high: float
+    low: float
+    left: dict[int, int]
+    right: dict[int, int]
+
+
+class Cancelled(RuntimeError):
+    """A search that its watcher ended."""
+
+
 def prepared(links: DataFrame) -> DataFrame:
     """Links with all columns and their whole metres, without those that can't be used."""
     there = {c.lower() for c in links.columns}
@@ -65,7 +81,7 @@ def _parts(cost):
     return F.when(F.floor(cost) > 0, F.floor(F.lit(1_000_000) / F.floor(cost)).cast("long"))
 
 
-def advanced(rows: DataFrame, buffers: Buffers) -> DataFrame:
+def advanced(rows: DataFrame, buffers: Buffers, crossings: Crossings | None = None) -> DataFrame:
     """Labels of the links in the columns ``l`` (a struct), from the label columns and the position ``x0, y0`` of the last link's start (null at a start)."""
     l = lambda c: F.col(f"l.{c}")  # noqa: E731, E741
     start = F.col("x0").isNull()
@@ -73,8 +89,14 @@ def advanced(rows: DataFrame, buffers: Buffers) -> DataFrame:
     size = F.sqrt((F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")) * (l("dx") * l("dx") + l("dy") * l("dy")))
     cosine = F.when(size > 0, (F.col("_dx") * l("dx") + F.col("_dy") * l("dy")) / size).otherwise(1.0)
     change = (l("classifier") != 0) & (F.col("classifier") != 0) & (F.abs(l("classifier") - F.col("classifier")) > 0.0005)
+    extra = F.lit(0)
+    if crossings is not None:
+        across = F.col("_dy") * l("dx") - F.col("_dx") * l("dy")
+        off = ~start & (F.col("priority") > 0) & (F.col("priority") >= crossings.high) & (l("priority") <= crossings.low)
+        by_class = lambda costs: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in costs.items() for x in kv]), l("crossing").cast("int")), F.lit(0)) if costs else F.lit(0)
+        extra = F.when(off & (across < 0), by_class(crossings.left)).when(off & (across > 0), by_class(crossings.right)).otherwise(0)
     rows = rows.withColumns({
-        "_turn": F.floor((1 - F.when(start, F.lit(1.0)).otherwise(cosine)) * l("turncost") + 0.2).cast("long"),
+        "_turn": extra + F.floor((1 - F.when(start, F.lit(1.0)).otherwise(cosine)) * l("turncost") + 0.2).cast("long"),
         "_initial": F.when(change, F.when(F.col("backwards"), F.col("initial")).otherwise(l("initial"))).otherwise(0.0),
         "_leave": F.when(start, l("destination")).when(F.col("on_destination") & ~l("destination"), F.lit(False)).otherwise(F.col("leave")),
         "_blocked": ~start & F.col("on_destination") & ~l("destination") & ~F.col("leave"),
@@ -105,7 +127,7 @@ def advanced(rows: DataFrame, buffers: Buffers) -> DataFrame:
         (F.col("cost") + _whole(F.col("_initial")) + way + _whole(l("area_cost")) + _whole(l("node_cost"))).alias("cost"),
         F.greatest(F.col("_down0") - F.col("_downt"), F.lit(0)).cast("long").alias("down"), F.greatest(F.col("_up0") - F.col("_upt"), F.lit(0)).cast("long").alias("up"),
         _parts(l("downhillcost")).alias("_dd"), _parts(l("uphillcost")).alias("_ud"),
-        l("classifier").alias("classifier"), l("initial").alias("initial"), l("destination").alias("on_destination"), "backwards", "target", "tx", "ty", (F.col("hops") + 1).alias("hops"), F.col("id").alias("parent"),
+        l("classifier").alias("classifier"), l("priority").alias("priority"), l("initial").alias("initial"), l("destination").alias("on_destination"), "backwards", "target", "tx", "ty", (F.col("hops") + 1).alias("hops"), F.col("id").alias("parent"),
     )
     due_later = lambda side, parts: F.coalesce(F.floor(F.col(side) / F.col(parts)), F.lit(0)).cast("long")
     done = done.withColumns({"down_due": due_later("down", "_dd"), "up_due": due_later("up", "_ud")}).drop("_dd", "_ud")
@@ -118,12 +140,14 @@ def _swapped(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
     return df.toDF(*[other.get(c, c) for c in df.columns])
 
 
-def search(links: DataFrame, requests: DataFrame, restrictions: DataFrame | None = None, penalties: DataFrame | None = None, buffers: Buffers = Buffers(), bound: float | None = None, backwards: bool = False) -> DataFrame:
+def search(links: DataFrame, requests: DataFrame, restrictions: DataFrame | None = None, penalties: DataFrame | None = None, buffers: Buffers = Buffers(), bound: float | None = None, backwards: bool = False, crossings: Crossings | None = None, seconds: float | None = None, watch: Callable[[int, int], bool] | None = None) -> DataFrame:
     """All labels that the search kept: (req, link, node, cost, hops, id, parent, ...).
 
     ``penalties`` (req, link, times) add a link's metres so many times, for alternatives.  ``bound`` drops labels that cost more.
     ``backwards`` searches from the targets against the links' direction; the labels' nodes are the links' starts then.
+    The search ends with ``Cancelled`` after so many ``seconds``, or when ``watch``, told the round and its number of labels, returns true.
     """
+    began = time.monotonic()
     if backwards:
         links = _swapped(links, {"src": "dst", "x1": "x2", "y1": "y2"})
         requests = _swapped(requests, {"src": "dst"})
@@ -135,7 +159,7 @@ def search(links: DataFrame, requests: DataFrame, restrictions: DataFrame | None
     places = held.select(F.col("dst").alias("target"), F.col("x2").alias("tx"), F.col("y2").alias("ty")).dropDuplicates(["target"])
     asked = requests.select("req", F.col("src").alias("node"), F.col("dst").cast("long").alias("target")).join(places, "target", "left")
     empty = {"link": "long", "x0": "long", "y0": "long", "parent": "long", "id": "long"}
-    frontier = asked.select("req", "node", "target", "tx", "ty", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()], F.lit(False).alias("leave"), F.lit(False).alias("on_destination"), F.lit(backwards).alias("backwards"), *[F.lit(0).cast("long").alias(c) for c in ("cost", "down", "up")], F.lit(0.0).alias("classifier"), F.lit(0.0).alias("initial"), F.lit(0).alias("hops"))
+    frontier = asked.select("req", "node", "target", "tx", "ty", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()], F.lit(False).alias("leave"), F.lit(False).alias("on_destination"), F.lit(backwards).alias("backwards"), *[F.lit(0).cast("long").alias(c) for c in ("cost", "down", "up")], F.lit(0.0).alias("classifier"), F.lit(0.0).alias("priority"), F.lit(0.0).alias("initial"), F.lit(0).alias("hops"))
     labels, number = None, 0
     w = Window.partitionBy(*STATE)
     first = F.row_number().over(Window.partitionBy(*STATE, "id").orderBy("_new", "hops", "parent"))
@@ -145,7 +169,7 @@ def search(links: DataFrame, requests: DataFrame, restrictions: DataFrame | None
         step = step.where(F.col("x0").isNull() | (F.col("x0") != F.col("l.x2")) | (F.col("y0") != F.col("l.y2")))  # no turning round
         if restrictions is not None and labels is not None:
             step = step.join(restrictions, (F.col("link") == F.col("_f")) & (F.col("l.link") == F.col("_t")), "left_anti")
-        found = advanced(step, buffers)
+        found = advanced(step, buffers, crossings)
         if penalties is not None:
             own = penalties.join(held.select("link", "metres"), "link").select("req", "link", (F.col("times") * F.col("metres")).cast("long").alias("_more"))
             found = found.join(own, ["req", "link"], "left").withColumn("cost", F.col("cost") + F.coalesce("_more", F.lit(0))).drop("_more")
@@ -164,6 +188,10 @@ def search(links: DataFrame, requests: DataFrame, restrictions: DataFrame | None
         if frontier.isEmpty():
             return labels if labels is not None else frontier
         number += 1
+        if seconds is not None and time.monotonic() - began > seconds:
+            raise Cancelled(f"timeout after {seconds:g} seconds")
+        if watch is not None and watch(number, frontier.count()):
+            raise Cancelled(f"cancelled in round {number}")
         labels = frontier if labels is None else labels.unionByName(frontier)
         if number % 8 == 0:
             labels = stored(labels, "labels")

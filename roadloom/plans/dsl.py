@@ -261,6 +261,17 @@ def may_start(tags: Column, excluded: list[tuple[str, str]]) -> Column:
     return out
 
 
+def checked_upload(text: str, most: int = 100_000) -> str | None:
+    """What is wrong with a script that is to be kept: its size, or that it can't be compiled; null if nothing is."""
+    if len(text.encode()) > most:
+        return f"the script is too large: more than {most} bytes"
+    try:
+        compile_profile(text)
+    except ScriptError as e:
+        return str(e)
+    return None
+
+
 def compile_profile(text: str, parameters: dict[str, float] | None = None) -> Profile:
     script = parse(text, parameters)
     constants: dict[tuple[str, str], float] = {}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tags as T
 from ..operators import etl, nogos
+from ..sources import codecs, tiles
 from . import dsl
 from .q_relational import _refs
 from .q_scalar import tagged
@@ -105,3 +107,25 @@ def waypoints_usable(spark, sf):
 def nogo_all_in_one(spark, sf):
     """FLT14."""
     return nogos.all_in_one(_areas(spark, sf), _waypoints(spark, sf))
+
+
+DICTIONARY = [("highway", ["motorway", "primary", "secondary", "tertiary", "track"]), ("lanes", ["1", "2", "3", "4", "5"]), ("oneway", ["yes", "no"]), ("surface", ["A", "N"])]
+
+
+@query(f"SELECT highway, surface, lanes, oneway, concat('highway=', CASE WHEN highway = 'residential' THEN 'unknown' ELSE highway END, ' lanes=', lanes, ' oneway=', oneway, ' surface=', CASE WHEN surface = 'R' THEN 'unknown' ELSE surface END) AS text, count(*) AS n FROM {duck('ways')} GROUP BY ALL")
+def tag_codes(spark, sf):
+    """BIN01, BIN05, PRJ02: tags by dictionary numbers in bits and back; unlisted values are unknown."""
+    coded = codecs.decoded_tags(codecs.encoded_tags(tagged(spark, sf), DICTIONARY), DICTIONARY)
+    return coded.groupBy("highway", "surface", "lanes", "oneway", T.description(F.col("decoded")).alias("text")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT concat('highway=', highway, ' lanes=', lanes, ' maxspeed=', maxspeed, ' oneway=', oneway, ' surface=', surface) AS text, count(*) AS n FROM {duck('ways')} GROUP BY 1")
+def tag_set_counts(spark, sf):
+    """AGG27: how often tag sets occur."""
+    return codecs.tag_set_counts(tagged(spark, sf), T.description(F.col("tags")))
+
+
+@query(f"SELECT concat('E', CAST(ilon // 5000000 * 5 - 180 AS VARCHAR), '_N', CAST(ilat // 5000000 * 5 - 90 AS VARCHAR)) AS tile, CAST(ilon % 5000000 // 1000000 * 5 + ilat % 5000000 // 1000000 AS INT) AS square, CAST(ilat % 1000000 // 31250 * 32 + ilon % 1000000 // 31250 AS INT) AS cell, count(*) AS n, min(nid) AS first_node FROM {duck('nodes')} GROUP BY ALL")
+def tile_cells(spark, sf):
+    """SRC14, SRT03: the tile, square and cell of each node."""
+    return tiles.placed(view(spark, sf, "nodes")).groupBy("tile", "square", "cell").agg(F.count("*").alias("n"), F.min("nid").alias("first_node"))
