@@ -183,22 +183,34 @@ class Index:
         return found
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) those that are near by signature and similar enough by their full sets."""
-        sides = [sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "shingles")]) for x in ("a", "b")]
-        joined = pairs.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        return joined.mapInArrow(_similar(self.percent, self.distance), "a long, b long")
+        """Of the pairs (node, pivot) those that are near by signature and similar enough by their full sets, as links (a, b).
+
+        Nodes meet their pivot in groups of about ``BLOCK_BYTES``: small ones share a group with other pivots, a large one is
+        dealt into parts, each with the pivot.
+        """
+        held = stored(pairs.join(sets.select("node", (8 * F.col("n") + 2 * SLOTS).alias("bytes")), "node"), "pairs")
+        sizes = held.groupBy("pivot").agg(F.sum("bytes").alias("bytes")).withColumn("parts", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
+        sizes = stored(sizes, "pivots")
+        total = sizes.where("parts <= 1").agg(F.sum("bytes")).first()[0] or 0
+        buckets = 1 + total // BLOCK_BYTES
+        small = F.col("parts") <= 1
+        group = [F.when(small, F.pmod(F.xxhash64("pivot"), F.lit(buckets))).otherwise(F.col("pivot")).alias("bucket"), small.alias("small")]
+        nodes = held.join(sizes.select("pivot", "parts"), "pivot").select("node", "pivot", *group, F.when(small, 0).otherwise(F.pmod(F.hash("node"), "parts")).alias("part"), F.lit(False).alias("own"))
+        own = sizes.select(F.col("pivot").alias("node"), "pivot", *group, F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).alias("part"), F.lit(True).alias("own"))
+        rows = nodes.unionByName(own).join(sets, "node")
+        return rows.groupBy("bucket", "small", "part").applyInArrow(_stars(self.distance, self.percent), "a long, b long")
 
     def pivots(self, members: DataFrame, sets: DataFrame) -> DataFrame:
         """Links (a, b) of nodes and the smallest or largest node that they share most keys with."""
-        pairs = members.select(F.col("node").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a != b")
+        pairs = members.select("node", F.explode(F.array("first", "last")).alias("pivot")).where("node != pivot")
         return self.confirmed(_likeliest(pairs), sets)
 
     def more_pivots(self, placed: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
         """Links of nodes of open keys and other pivots, of another component."""
         order, one = F.xxhash64("node", F.lit(seed)), F.struct("node", "component")
         ends = placed.groupBy("key").agg(F.array(F.min_by(one, order), F.max_by(one, order)).alias("ends"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        pairs = placed.join(ends, "key").select(F.col("node").alias("a"), "component", F.explode("ends").alias("end")).where("component != end.component")
-        return self.confirmed(_likeliest(pairs.select("a", F.col("end.node").alias("b"))), sets)
+        pairs = placed.join(ends, "key").select("node", "component", F.explode("ends").alias("end")).where("component != end.component")
+        return self.confirmed(_likeliest(pairs.select("node", F.col("end.node").alias("pivot"))), sets)
 
     def placed(self, members: DataFrame, found: DataFrame) -> DataFrame:
         """(key, node, component) of the members; a node without a link is its own component."""
@@ -255,9 +267,8 @@ class Index:
 
 
 def _likeliest(pairs: DataFrame) -> DataFrame:
-    """Of each a the pair with the b that it is listed with most often."""
-    best = pairs.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Of each node the pair with the pivot that it is listed with most often."""
+    return pairs.groupBy("node", "pivot").count().groupBy("node").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
 
 
 def _keying(plan: Plan):
@@ -274,55 +285,77 @@ def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
+class Sets:
+    """Signatures and full sets of the rows of a table, for comparing one row with many."""
+
+    def __init__(self, table: pa.Table, distance: int, percent: int):
+        self.distance, self.percent = distance, percent
+        self.n, self.sigs = table["n"].to_numpy(), _signatures(table["sig"])
+        flat = np.frombuffer(b"".join(table["shingles"].to_pylist()), np.uint64)
+        self.ids = np.unique(flat, return_inverse=True)[1]
+        self.begin = np.cumsum(self.n) - self.n
+        self.marked = np.zeros(len(flat), bool)
+
+    def similar(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Of the rows ys those that are near row x by signature and similar enough in full."""
+        n, begin, ids = self.n, self.begin, self.ids
+        ys = ys[100 * np.minimum(n[x], n[ys]) >= self.percent * np.maximum(n[x], n[ys])]
+        ys = np.concatenate([ys[:0], *(some[(self.sigs[some] != self.sigs[x]).sum(axis=1) <= self.distance] for some in np.split(ys, range(1 << 14, len(ys), 1 << 14)))])
+        if not len(ys):
+            return ys
+        mine = ids[begin[x] : begin[x] + n[x]]
+        self.marked[mine] = True
+        both = np.empty(len(ys), np.int64)
+        at = 0
+        for cut in [*(np.flatnonzero(np.diff(np.cumsum(n[ys]) >> 20)) + 1).tolist(), len(ys)]:
+            some = ys[at:cut]
+            ends = np.cumsum(n[some])
+            of = np.repeat(begin[some] - (ends - n[some]), n[some]) + np.arange(ends[-1])
+            both[at:cut] = np.add.reduceat(self.marked[ids[of]], ends - n[some], dtype=np.int64)
+            at = cut
+        self.marked[mine] = False
+        return ys[100 * both >= self.percent * (n[x] + n[ys] - both)]
+
+
+def _links(links: list) -> pa.Table:
+    ends = np.sort(np.array(links, np.int64).reshape(-1, 2), axis=1)
+    return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
+
+
+def _stars(distance: int, percent: int):
+    """Links of pivots and the nodes that came with them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pivot, own, node = (table[c].to_numpy() for c in ("pivot", "own", "node"))
+        sets = Sets(table, distance, percent)
+        links = []
+        order = np.lexsort((~own, pivot))  # each pivot, then its nodes
+        for run_ in np.split(order, np.flatnonzero(np.diff(pivot[order])) + 1):
+            links += [(node[run_[0]], node[y]) for y in sets.similar(int(run_[0]), run_[1:])]
+        return _links(links)
+
+    return run
+
+
 def _across(distance: int, percent: int):
     """Of two parts' nodes the links that join two components, each pair compared by signature and then in full."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, i, j = (k.as_py() for k in key)
-        table = table.sort_by("node").combine_chunks()
-        part, component, n = (table[c].to_numpy() for c in ("part", "component", "n"))
-        sigs = _signatures(table["sig"])
-        flat = np.frombuffer(b"".join(table["shingles"].to_pylist()), np.uint64)
-        ids = np.unique(flat, return_inverse=True)[1]
-        begin = np.cumsum(n) - n
-        marked = np.zeros(len(flat), bool)
+        table = table.sort_by("node")
+        part, component = (table[c].to_numpy() for c in ("part", "component"))
+        sets = Sets(table, distance, percent)
         label = np.unique(component, return_inverse=True)[1]
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
         links = []
-
-        def similar(x: int, ys: np.ndarray) -> np.ndarray:
-            marked[ids[begin[x] : begin[x] + n[x]]] = True
-            both = np.empty(len(ys), np.int64)
-            cuts = np.append(np.flatnonzero(np.diff(np.cumsum(n[ys]) >> 20)) + 1, len(ys))
-            at = 0
-            for cut in cuts.tolist():
-                some = ys[at:cut]
-                ends = np.cumsum(n[some])
-                of = np.repeat(begin[some] - (ends - n[some]), n[some]) + np.arange(ends[-1] if len(ends) else 0)
-                both[at:cut] = np.add.reduceat(marked[ids[of]], ends - n[some], dtype=np.int64) if len(some) else 0
-                at = cut
-            marked[ids[begin[x] : begin[x] + n[x]]] = False
-            return ys[100 * both >= percent * (n[x] + n[ys] - both)]
-
-        for at in range(0, len(left), 32):
-            some = left[at : at + 32]
-            held = label[some][:, None] != label[right][None, :]
-            if i == j:
-                held &= some[:, None] < right[None, :]
-            held &= 100 * np.minimum(n[some][:, None], n[right][None, :]) >= percent * np.maximum(n[some][:, None], n[right][None, :])
-            for x, row in zip(some.tolist(), held, strict=True):
-                ys = right[row]
-                ys = ys[label[ys] != label[x]]  # what was joined since
-                for step in range(0, len(ys), 1 << 14):
-                    near = ys[step : step + (1 << 14)]
-                    near = near[(sigs[near] != sigs[x]).sum(axis=1) <= distance]
-                    good = similar(x, near) if len(near) else near
-                    if len(good):
-                        labels, first = np.unique(label[good], return_index=True)
-                        links += [(component[x], component[good[k]]) for o, k in zip(labels, first, strict=True) if o != label[x]]
-                        label[np.isin(label, labels)] = label[x]
-        ends = np.sort(np.array(links, np.int64).reshape(-1, 2), axis=1)
-        return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
+        for x in left.tolist():
+            ys = right[label[right] != label[x]]  # what isn't joined yet
+            good = sets.similar(x, ys[ys > x] if i == j else ys)
+            if len(good):
+                labels, first = np.unique(label[good], return_index=True)
+                links += [(component[x], component[good[k]]) for k in first]
+                label[np.isin(label, labels)] = label[x]
+        return _links(links)
 
     return run
 
@@ -339,21 +372,6 @@ def _sets(held):
     return run
 
 
-def _similar(percent: int, distance: int):
-    def run(batches):
-        for batch in slices(batches, 256):
-            near = (_signatures(batch["sig_a"]) != _signatures(batch["sig_b"])).sum(axis=1) <= distance
-            batch = batch.select(["a", "b", "shingles_a", "shingles_b"]).filter(pa.array(near))
-            held = []
-            for x, y in zip(batch["shingles_a"].to_pylist(), batch["shingles_b"].to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                held.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"]}).filter(pa.array(held, pa.bool_()))
-
-    return run
-
-
 def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, tie, n_shingles, component_id) of each row; ``tie`` is a hash of its text."""
     index = Index(docs, percent, id_col, text_col)
