@@ -42,7 +42,7 @@ _WORDS = _RNG.integers(0, 2**63, 2 * SHINGLE, np.uint64) * np.uint64(2) + np.uin
 _MULTIPLY = _RNG.integers(0, 2**63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, 1024, np.uint64)
 SLOTS = 252
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 BLOOM_BITS = 26
 
 
