@@ -11,7 +11,7 @@ the files, ``ranks.bin`` holds the token id (u32) of each rank.  Files are writt
 task that is lost or runs twice does no harm.  Each file holds one range of doc_id, in ascending order.
 
 Texts are encoded piece by piece at ASCII white space, and printable ASCII words by runs of letters, digits and runs of other
-symbols, with the pieces' ids remembered from task to task of a Python worker.  This equals encoding the whole text for tokenizers that
+symbols, with the pieces' ids remembered for the task.  This equals encoding the whole text for tokenizers that
 drop white space and split letters, digits and punctuation, such as ``word_bpe_49k.json``; with others pass ``pieces=False``.
 
 Defined results: null and empty texts hold the end id only; null ids sort first; rows with the same doc_id stand side by
@@ -153,6 +153,11 @@ class Encoder:
         return [b"".join(map(known.__getitem__, d)) for d in docs]
 
 
+    def forget(self) -> None:
+        """Gives the memory of pieces back: a worker that waits for another job's tasks should hold little."""
+        self.known, self.former = {}, {}
+
+
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -171,9 +176,13 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, te
     def run(batches):
         encoder = shared_encoder(tokenizer, pieces)
         end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
-        for batch in slices(batches):
-            ids = [x + end for x in encoder.batch(as_bytes(batch["text"]))]
-            yield pa.RecordBatch.from_pydict({"id": batch["id"], "tie": batch["tie"], "width": pa.array([encoder.kind.itemsize] * len(ids), pa.int32()), "ids": pa.array(ids, pa.binary())})
+        try:
+            for batch in slices(batches):
+                ids = [x + end for x in encoder.batch(as_bytes(batch["text"]))]
+                yield pa.RecordBatch.from_pydict({"id": batch["id"], "tie": batch["tie"], "width": pa.array([encoder.kind.itemsize] * len(ids), pa.int32()), "ids": pa.array(ids, pa.binary())})
+        finally:
+            encoder.forget()
+            pa.default_memory_pool().release_unused()
 
     return stored(source.mapInArrow(run, "id long, tie long, width int, ids binary"), "token-ids")
 
