@@ -83,14 +83,14 @@ def _collected(name, scale, reach, weight, weight_sql, ids):
     def run(spark, sf):
         ways = points(spark, sf).withColumn("metres", F.col("population") % 900 + 1)
         pairs = lines.near(ways, view(spark, sf, "segments"), float(reach), 125_000)
-        return enrich.proximity(pairs, ["place"], "metres", "distance", float(scale), weight).select("place", F.round("factor", 6).alias("factor"))
+        return enrich.proximity(pairs, ["place"], "metres", "distance", float(scale), weight()).select("place", F.round("factor", 6).alias("factor"))
 
     run.__doc__ = f"{ids}: what ways collect from lines near them."
 
 
-_collected("noise_sums", 15, 7500, F.col("seg") % 5 / 4.0, "s.seg % 5 / 4.0", "AGG01, JOIN10")
-_collected("river_sums", 50, 8000, F.lit(1.0), "1.0", "AGG02")
-_collected("forest_sums", 25, 6430, F.lit(1.0), "1.0", "AGG03, JOIN13")
+_collected("noise_sums", 15, 7500, lambda: F.col("seg") % 5 / 4.0, "s.seg % 5 / 4.0", "AGG01, JOIN10")
+_collected("river_sums", 50, 8000, lambda: F.lit(1.0), "1.0", "AGG02")
+_collected("forest_sums", 25, 6430, lambda: F.lit(1.0), "1.0", "AGG03, JOIN13")
 
 
 @query(f"""SELECT place, round(sum(f), 6) AS factor FROM (SELECT place, sum(0.5 / ((d + 15) / 15.0)) / (any_value(round_even(metres / 20.0, 0)) + 1) AS f FROM (SELECT p.place, p.population % 900 + 1 AS metres, {_OFF} AS d FROM {_POINTS} p JOIN {duck('segments')} s ON {_OFF} <= 7500) GROUP BY place
