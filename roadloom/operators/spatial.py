@@ -64,14 +64,14 @@ def nearest_ring(left: DataFrame, right: DataFrame, k: int, first: float, left_i
     """As ``nearest``, with the radius doubled for the rows that found too few, up to ``most`` metres."""
     found, metres, todo = None, first, left
     while True:
-        got = nearest(todo, right, k, metres, left_id, right_id, cell, names)
+        got = stored(nearest(todo, right, k, metres, left_id, right_id, cell, names), "nearest")
         last = metres >= most
         full = got if last else got.join(got.groupBy(left_id).count().where(F.col("count") >= k).select(left_id), left_id, "left_semi")
         found = full if found is None else found.unionByName(full)
         if last:
             return found
-        todo = todo.join(full.select(left_id).distinct(), left_id, "left_anti")
-        if not todo.limit(1).count():
+        todo = stored(todo.join(full.select(left_id).distinct(), left_id, "left_anti"), "unplaced")
+        if todo.isEmpty():
             return found
         metres = min(most, metres * 2)
 
