@@ -117,10 +117,24 @@ def turn_cost(cosine, cost):
 
 
 def bike_speed(incline, power: float = 100.0, mass: float = 90.0, scx: float = 0.225, roll: float = 0.01, most: float = 45.0):
-    """Speed in m/s at which power meets air and rolling resistance and slope, by ten steps of Newton's method."""
+    """Speed in m/s at which power meets air and rolling resistance and slope, and at most ``most`` km/h.
+
+    Newton's method in ten steps from 8 m/s: a start from which the resistance is too small is doubled, and it ends once the resistance is
+    met to a tenth of a watt.
+    """
     force = 9.81 * mass * (roll + incline)
-    v = F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.lit(8.0), lambda v, _: v - (scx * v * v * v + force * v - power) / F.greatest(3 * scx * v * v + force, F.lit(0.1)))
-    return F.least(F.greatest(v, F.lit(0.1)), F.lit(most / 3.6))
+
+    def step(s, _):
+        v = s["v"]
+        short = (scx * v * v + force) * v - power < 0.1
+        return F.struct(
+            F.when(s["done"], v).when(short & s["starting"], 2 * v).when(short, v).otherwise(v - ((scx * v * v + force) * v - power) / (3 * scx * v * v + force)).alias("v"),
+            (s["starting"] & short).alias("starting"),
+            (s["done"] | (short & ~s["starting"])).alias("done"),
+        )
+
+    start = F.struct(F.lit(8.0).alias("v"), F.lit(True).alias("starting"), F.lit(False).alias("done"))
+    return F.least(F.aggregate(F.sequence(F.lit(1), F.lit(10)), start, step, lambda s: s["v"]), F.lit(most / 3.6))
 
 
 def hiking_speed(incline):

@@ -106,7 +106,10 @@ def hiking_speed(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(graph.hiking_speed((F.col("event_id") % 41 - 20) / 100.0), 6).alias("kmh"))
 
 
-@query("WITH RECURSIVE i AS (SELECT event_id, 9.81 * 90.0 * (0.01 + (event_id % 21 - 10) / 100.0) AS f FROM events), v AS (SELECT event_id, f, 0 AS k, 8.0::DOUBLE AS v FROM i UNION ALL SELECT event_id, f, k + 1, v - (0.225 * v * v * v + f * v - 100.0) / greatest(3 * 0.225 * v * v + f, 0.1) FROM v WHERE k < 10) SELECT event_id, round(least(greatest(v, 0.1), 45.0 / 3.6), 4) AS speed FROM v WHERE k = 10")
+@query("""WITH RECURSIVE i AS (SELECT event_id, 9.81 * 90.0 * (0.01 + (event_id % 21 - 10) / 100.0) AS f FROM events),
+r AS (SELECT event_id, f::DOUBLE AS f, 0 AS k, 8.0::DOUBLE AS v, true AS starting, false AS done FROM i
+UNION ALL SELECT event_id, f, k + 1, CASE WHEN done THEN v WHEN y < 0.1 AND starting THEN v * 2 WHEN y < 0.1 THEN v ELSE v - y / (3 * 0.225 * v * v + f) END, starting AND y < 0.1, done OR (y < 0.1 AND NOT starting) FROM (SELECT *, (0.225 * v * v + f) * v - 100.0 AS y FROM r) WHERE k < 10)
+SELECT event_id, round(least(v, 45.0 / 3.6), 4) AS speed FROM r WHERE k = 10""")
 def bike_speed(spark, sf):
     """GEO20, GRF25."""
     return table(spark, sf, "events").select("event_id", F.round(graph.bike_speed((F.col("event_id") % 21 - 10) / 100.0), 4).alias("speed"))
