@@ -549,8 +549,13 @@ def pipeline_by_brute_force(stage, before, after, spark):
         clean = lambda w: not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
         assert {r.doc_id for r in after} == {r.doc_id for r in before if clean(words_of((r.text or "").encode()))}
     elif stage == "mixing":
-        copies = {i: sum(r.doc_id == i for r in after) for i in {r.doc_id for r in before}}
-        assert sum(copies.values()) == len(after) and max(copies.values()) <= 4
+        # as many copies as the rate's whole part, or one more; the totals of a plain solver are held elsewhere
+        docs = spark.createDataFrame(before, spark.read.parquet(f"{SF}/documents.parquet").schema)
+        fitted = mixing.fit(docs, queries.domains(spark.read.parquet(f"{SF}/labels.parquet")), queries.MIXTURE)
+        rates = {r.doc_id: r.rate for r in fitted.rates(docs).select("row.doc_id", "rate").collect()}
+        copies = {i: sum(r.doc_id == i for r in after) for i in rates}
+        assert sum(copies.values()) == len(after) and fitted.met
+        assert all(math.floor(rate - 1e-9) <= copies[i] <= math.floor(rate + 1e-9) + 1 for i, rate in rates.items())
     else:
         from tokenizers import Tokenizer
 
