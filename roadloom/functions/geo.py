@@ -34,7 +34,10 @@ def node_id(ilon, ilat) -> Column:
 
 def scales(ilat) -> tuple[Column, Column]:
     """Metres in 10^-6 degrees of longitude and latitude, at the middle of the 0.1 degree band."""
-    band = F.floor(col(ilat) / 100_000)
+    return band_scales(F.floor(col(ilat) / 100_000))
+
+
+def band_scales(band: Column) -> tuple[Column, Column]:
     lat = (band * 0.1 + 0.05 - 90.0) * (math.pi / 180)
     # fixed values: the usual Fourier terms of the ellipsoid, in metres
     kx = (111.41513 * F.cos(lat) - 0.09455 * F.cos(3 * lat) + 0.00012 * F.cos(5 * lat)) / 1000

@@ -1,11 +1,14 @@
 """Spatial joins by grid cells: an equi join on cells, then the exact predicate.
 
-The left side is put into the cells that its search box covers, the right side into its own cell, so the join's shuffle
-follows the cells and AQE splits a crowded one.  No side is broadcast unless Spark itself finds it small.
+The left side is put into the cells that its circle touches, the right side into its own cell, so the join's shuffle
+follows the cells.  The left side is dealt to many tasks first, as tables of few bytes make many pairs.  No side is broadcast
+unless Spark itself finds it small.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,58 +16,107 @@ from ..functions import geo
 from .tables import stored
 
 
-def covered(df: DataFrame, x: str, y: str, reach: Column, cell: int) -> DataFrame:
-    """``df`` with one row for each cell within ``reach`` units of its position."""
-    lo = lambda c: F.floor((F.col(c) - reach) / cell).cast("long")
-    hi = lambda c: F.floor((F.col(c) + reach) / cell).cast("long")
-    return df.withColumn("cell_x", F.explode(F.sequence(lo(x), hi(x)))).withColumn("cell_y", F.explode(F.sequence(lo(y), hi(y))))
+def tasks(df: DataFrame) -> int:
+    """How many parts a side is dealt to: pairs may be many where rows and bytes are few."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def cell_key(x, y) -> Column:
+    """A cell's column and row as one number."""
+    return F.shiftleft(geo.col(x).cast("long"), 32) + geo.col(y).cast("long")
+
+
+def covered(df: DataFrame, x: str, y: str, reach: tuple[Column, Column], cell: int) -> DataFrame:
+    """``df`` with one row for each cell that the ellipse of these half axes around its position touches."""
+    span = lambda c, r: F.sequence(F.floor((F.col(c) - r) / cell).cast("long"), F.floor((F.col(c) + r) / cell).cast("long"))
+    out = df.withColumn("_cx", F.explode(span(x, reach[0]))).withColumn("_cy", F.explode(span(y, reach[1])))
+    # from the position to the nearest place in the cell
+    off = lambda c, k, r: F.greatest(F.lit(0), F.col(k) * cell - F.col(c), F.col(c) - (F.col(k) + 1) * cell) / r
+    dx, dy = off(x, "_cx", reach[0]), off(y, "_cy", reach[1])
+    return out.where(dx * dx + dy * dy <= 1).withColumn("_cell", cell_key("_cx", "_cy")).drop("_cx", "_cy")
 
 
 def in_cells(df: DataFrame, x: str, y: str, cell: int) -> DataFrame:
     return df.withColumn("cell_x", F.floor(F.col(x) / cell).cast("long")).withColumn("cell_y", F.floor(F.col(y) / cell).cast("long"))
 
 
-def cell_join(left: DataFrame, right: DataFrame, reach: Column, predicate: Column, cell: int, left_xy: tuple[str, str], right_xy: tuple[str, str], how: str = "inner") -> DataFrame:
-    """Rows of both sides whose positions are within ``reach`` (units, of the left row) in each direction and meet ``predicate``.
+def cell_join(left: DataFrame, right: DataFrame, reach: tuple[Column, Column], predicate: Column, cell: int, left_xy: tuple[str, str], right_xy: tuple[str, str], how: str = "inner") -> DataFrame:
+    """Rows of both sides whose positions are within ``reach`` (units in each direction, of the left row) and meet ``predicate``.
 
     ``how`` is inner, left, left_semi or left_anti; column names of the sides must differ.
     """
-    # row numbers are stored, as both uses of them must agree
-    keyed = stored(left.withColumn("_row", F.monotonically_increasing_id()), "rows") if how != "inner" else left
-    a, b = covered(keyed, *left_xy, reach, cell), in_cells(right, *right_xy, cell)
-    pairs = a.join(b, ["cell_x", "cell_y"]).where(predicate).drop("cell_x", "cell_y")
+    dealt = left.repartition(tasks(left))
+    # row numbers are stored, as all uses of them must agree
+    keyed = stored(dealt.withColumn("_row", F.monotonically_increasing_id()), "rows").repartition(tasks(left)) if how != "inner" else dealt
+    a = covered(keyed, *left_xy, reach, cell)
+    b = right.withColumn("_there", cell_key(F.floor(F.col(right_xy[0]) / cell), F.floor(F.col(right_xy[1]) / cell)))
+    meet = (F.col("_cell") == F.col("_there")) & predicate
+    pairs = lambda: a.join(b, meet).drop("_cell", "_there", "_row")
     if how == "inner":
-        return pairs
-    if how == "left":
-        return keyed.join(pairs.drop(*left.columns), "_row", "left").drop("_row")
-    return keyed.join(pairs.select("_row").distinct(), "_row", how).drop("_row")
+        return pairs()
+    # whether a row has a match is asked apart, which ends at the first one and moves no pairs
+    matched = a.join(b, meet, "left_semi").select("_row").distinct()
+    if how != "left":
+        return keyed.join(matched, "_row", how).drop("_row")
+    return pairs().unionByName(keyed.join(matched, "_row", "left_anti").drop("_row"), allowMissingColumns=True)
 
 
 def within_distance(left: DataFrame, right: DataFrame, metres: Column, cell: int = 31_250, names: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2"), how: str = "inner") -> DataFrame:
     """Pairs at most so many metres apart, with their ``distance``; the radius may differ from row to row.
 
-    A degree of latitude, 111 km, is the longest; the box is widened for longitudes by the scale at the position.
+    The scales of all bands of latitude that a left row's pairs can lie in are worked out before the join.
     """
     x1, y1, x2, y2 = names
-    kx, _ = geo.scales(y1)
-    reach = F.ceil(metres / kx * 1.02).cast("long") + 1
-    d = geo.distance(x1, y1, x2, y2)
-    out = cell_join(left, right, reach, d <= metres, cell, (x1, y1), (x2, y2), how)
-    return out.withColumn("distance", geo.distance(x1, y1, x2, y2)) if how in ("inner", "left") else out
+    # fixed value: a degree of latitude is 110.57 km at least
+    high = F.ceil(metres / 0.1105).cast("long") + 1
+    band = lambda y: F.floor(y / 100_000).cast("long")
+    rows = left.withColumns({"_metres": metres.cast("double"), "_high": high, "_bands": F.sequence(band(F.col(y1) - high), band(F.col(y1) + high))})
+    rows = rows.withColumns({"_first": F.col("_bands")[0], "_kx": F.transform("_bands", lambda b: geo.band_scales(b)[0]), "_ky": F.transform("_bands", lambda b: geo.band_scales(b)[1])})
+    wide = F.ceil(F.col("_metres") / F.array_min("_kx")).cast("long") + 1
+    rows = rows.withColumn("_wide", F.when(wide.between(0, 360_000_000), wide).otherwise(360_000_000)).drop("_bands")
+    at = (band(F.floor((F.col(y1) + F.col(y2)) / 2)) - F.col("_first")).cast("int")
+    dx, dy = (F.col(x1) - F.col(x2)) * F.get("_kx", at), (F.col(y1) - F.col(y2)) * F.get("_ky", at)
+    distance = F.sqrt(dx * dx + dy * dy)
+    out = cell_join(rows, right, (F.col("_wide"), F.col("_high")), distance <= F.col("_metres"), cell, (x1, y1), (x2, y2), how)
+    if how in ("inner", "left"):
+        out = out.withColumn("distance", distance)
+    return out.drop("_metres", "_high", "_first", "_kx", "_ky", "_wide")
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, metres: float, left_id: str, right_id: str, cell: int = 31_250, names: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
-    """The k nearest of the right side within so many metres of each left row, with ``distance`` and ``rank`` (ties by id)."""
+    """The k nearest of the right side within so many metres of each left row, with ``distance`` and ``rank`` (ties by id).
+
+    They are looked for in rings, the first one as large as the right side's density asks for.
+    """
+    return nearest_ring(left, right, k, ring_for(right, k, metres, names[2:]), left_id, right_id, metres, cell, names)
+
+
+def ring_for(right: DataFrame, k: int, most: float, xy: tuple[str, str]) -> float:
+    """A radius that holds about three times k rows where they lie evenly."""
+    x, y = xy
+    n, width, height = right.agg(F.count("*"), F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
+    if not n:
+        return most
+    # fixed value: metres in a unit of latitude
+    return max(1.0, min(most, math.sqrt(3 * k * max(float(width), 1.0) * max(float(height), 1.0) / (n * math.pi)) * 0.111))
+
+
+def _ranked(left: DataFrame, right: DataFrame, k: int, metres: float, left_id: str, right_id: str, cell: int, names: tuple[str, str, str, str]) -> DataFrame:
     pairs = within_distance(left, right, F.lit(metres), cell, names)
     order = Window.partitionBy(left_id).orderBy("distance", right_id)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest_ring(left: DataFrame, right: DataFrame, k: int, first: float, left_id: str, right_id: str, most: float = 200_000.0, cell: int = 31_250, names: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
-    """As ``nearest``, with the radius doubled for the rows that found too few, up to ``most`` metres."""
-    found, metres, todo = None, first, left
+    """The k nearest, with the radius doubled for the rows that found too few, up to ``most`` metres.
+
+    ``cell`` is the most; small rings have smaller cells.
+    """
+    found, metres, todo = None, min(first, most), left
     while True:
-        got = stored(nearest(todo, right, k, metres, left_id, right_id, cell, names), "nearest")
+        size = max(1, min(cell, round(metres * 9)))
+        got = stored(_ranked(todo, right, k, metres, left_id, right_id, size, names), "nearest")
         last = metres >= most
         full = got if last else got.join(got.groupBy(left_id).count().where(F.col("count") >= k).select(left_id), left_id, "left_semi")
         found = full if found is None else found.unionByName(full)

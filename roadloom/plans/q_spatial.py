@@ -40,14 +40,14 @@ def range_join_row_radius(spark, sf):
 def spatial_left_outer(spark, sf):
     """JOIN14."""
     p, s = sides(spark, sf)
-    return spatial.within_distance(p, s, F.lit(5500.0), 125_000, how="left").select("place", "site")
+    return spatial.within_distance(p, s, F.lit(5500.0), 31_250, how="left").select("place", "site")
 
 
 @query(f"SELECT p.id AS place FROM {duck('places')} p WHERE NOT EXISTS (SELECT 1 FROM {duck('sites')} s WHERE {D} <= 5500)")
 def spatial_anti(spark, sf):
     """JOIN21 with a spatial predicate."""
     p, s = sides(spark, sf)
-    return spatial.within_distance(p, s, F.lit(5500.0), 125_000, how="left_anti").select("place")
+    return spatial.within_distance(p, s, F.lit(5500.0), 31_250, how="left_anti").select("place")
 
 
 @query(f"SELECT p.id AS a, s.id AS b, round({D}, 3) AS metres FROM {duck('places')} p JOIN {duck('places')} s ON p.id < s.id AND p.nation = s.nation AND {D} <= 2000")
