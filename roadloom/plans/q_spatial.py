@@ -80,7 +80,7 @@ def knn_top5(spark, sf):
 def knn_ring_retry(spark, sf):
     """JOIN30: the radius grows for those that found too few."""
     p, s = sides(spark, sf)
-    return spatial.nearest_ring(p, s, 3, 15_000, "place", "site", cell=250_000).select("place", "site", F.col("rank").cast("int").alias("rank"))
+    return spatial.nearest_ring(p, s, 3, spatial.ring_for(s, 3, 15_000, ("x2", "y2")), "place", "site", cell=250_000).select("place", "site", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"SELECT s.id AS site, round(sum(p.population / (({D} + 1000) * ({D} + 1000))), 6) AS populate, count(*) AS n FROM {duck('places')} p JOIN {duck('sites')} s ON {D} <= 20000 GROUP BY s.id")
