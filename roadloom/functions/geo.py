@@ -86,9 +86,12 @@ def turn(lon0, lat0, lon1, lat1, lon2, lat2) -> tuple[Column, Column]:
     return F.when(size > 0, F.atan2(cross, dot) * (180 / math.pi)).otherwise(0.0), F.when(size > 0, dot / size).otherwise(1.0)
 
 
-def foot(px, py, ax, ay, bx, by) -> tuple[Column, Column]:
-    """Share of the way from a to b at the foot of p, clamped to the segment, and the distance to it in metres."""
-    kx, ky = scales(py)
+def foot(px, py, ax, ay, bx, by, scale: tuple[Column, Column] | None = None) -> tuple[Column, Column]:
+    """Share of the way from a to b at the foot of p, clamped to the segment, and the distance to it in metres.
+
+    ``scale`` are the scales at p, where they are known.
+    """
+    kx, ky = scale or scales(py)
     dx, dy = (col(bx) - col(ax)) * kx, (col(by) - col(ay)) * ky
     vx, vy = (col(px) - col(ax)) * kx, (col(py) - col(ay)) * ky
     square = dx * dx + dy * dy
@@ -223,9 +226,9 @@ def braking_speed(limit, power: float = 6584.3621399176955, roll: float = 232.0,
     return F.aggregate(F.sequence(F.lit(1), F.lit(5)), v0 * 0.8, lambda v, _: v - (power / v + air * recovery * v * v - goal) / (2 * recovery * air * v - power / (v * v)))
 
 
-def length_in_circle(ax, ay, bx, by, cx, cy, radius) -> Column:
-    """Metres of a segment that lie in a circle."""
-    kx, ky = scales(cy)
+def length_in_circle(ax, ay, bx, by, cx, cy, radius, scale: tuple[Column, Column] | None = None) -> Column:
+    """Metres of a segment that lie in a circle; ``scale`` are the scales at its centre, where they are known."""
+    kx, ky = scale or scales(cy)
     dx, dy = (col(bx) - col(ax)) * kx, (col(by) - col(ay)) * ky
     vx, vy = (col(ax) - col(cx)) * kx, (col(ay) - col(cy)) * ky
     a, b, c = dx * dx + dy * dy, vx * dx + vy * dy, vx * vx + vy * vy - col(radius) * col(radius)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .spatial import in_cells
+from .spatial import cell_key, in_cells, tasks, worked_out
+from .tables import stored
 
 
 def boxed(df: DataFrame, xs: tuple[Column, Column], ys: tuple[Column, Column], reach: Column, cell: int) -> DataFrame:
@@ -23,20 +24,76 @@ def _box(names: tuple[str, str, str, str]):
     return (F.least(x1, x2), F.greatest(x1, x2)), (F.least(y1, y2), F.greatest(y1, y2))
 
 
+def along(segments: DataFrame, reach: Column, cell: int, ends: tuple[str, str, str, str]) -> DataFrame:
+    """``segments`` with a row and ``_cell`` for each cell that may hold a position within ``reach`` metres of it, not for its whole box."""
+    (x_lo, x_hi), (y_lo, y_hi) = _box(ends)
+    band = lambda y: F.floor(y / 100_000)
+    # fixed value: a degree of latitude is 110.57 km at least
+    out = segments.withColumn("_high", F.ceil(reach / 0.1105).cast("long") + 1)
+    # longitudes are shortest at the end that is nearer to a pole
+    kx = F.least(*[geo.band_scales(band(y))[0] for y in (y_lo - F.col("_high"), y_hi + F.col("_high"))])
+    wide = F.ceil(reach / kx).cast("long") + 1
+    out = out.withColumn("_wide", F.when(wide.between(0, 360_000_000), wide).otherwise(360_000_000))
+    span = lambda lo, hi, r: F.sequence(F.floor((lo - F.col(r)) / cell).cast("long"), F.floor((hi + F.col(r)) / cell).cast("long"))
+    out = out.withColumn("_cx", F.explode(span(x_lo, x_hi, "_wide"))).withColumn("_cy", F.explode(span(y_lo, y_hi, "_high")))
+    # the cell's middle is at most its half diagonal farther off, all in units of the reach
+    x1, y1, x2, y2 = (F.col(c) / F.col(r) for c, r in zip(ends, ("_wide", "_high") * 2, strict=True))
+    px, py = (F.col("_cx") + 0.5) * cell / F.col("_wide"), (F.col("_cy") + 0.5) * cell / F.col("_high")
+    dx, dy = x2 - x1, y2 - y1
+    square = dx * dx + dy * dy
+    t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x1) * dx + (py - y1) * dy) / square))).otherwise(0.0)
+    ex, ey = px - x1 - t * dx, py - y1 - t * dy
+    half = F.sqrt(F.pow(F.lit(cell / 2) / F.col("_wide"), F.lit(2)) + F.pow(F.lit(cell / 2) / F.col("_high"), F.lit(2)))
+    out = worked_out(out, {"_off": F.sqrt(ex * ex + ey * ey) - half}, F.col("_off") <= 1 + 1e-6).drop("_off")
+    return out.withColumn("_cell", cell_key("_cx", "_cy")).drop("_cx", "_cy", "_high", "_wide")
+
+
 def near(points: DataFrame, segments: DataFrame, metres: float, cell: int = 31_250, at: tuple[str, str] = ("x", "y"), ends: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
     """Pairs of a position and a segment at most so many metres apart, with ``share`` of the way to its foot and ``distance``."""
-    kx, _ = geo.scales(ends[1])
-    keyed = boxed(segments, *_box(ends), F.ceil(F.lit(metres) / kx * 1.02).cast("long") + 1, cell)
-    share, distance = geo.foot(*at, *ends)
-    pairs = in_cells(points, *at, cell).join(keyed, ["cell_x", "cell_y"]).drop("cell_x", "cell_y")
-    return pairs.withColumns({"share": share, "distance": distance}).where(F.col("distance") <= metres)
+    n = tasks(points)
+    kx, ky = geo.scales(at[1])
+    rows = points.repartition(n).withColumns({"_kx": kx, "_ky": ky, "_there": cell_key(F.floor(F.col(at[0]) / cell), F.floor(F.col(at[1]) / cell))}).repartition(n, "_there")
+    keyed = along(segments.repartition(n), F.lit(float(metres)), cell, ends).repartition(n, "_cell")
+    share, distance = geo.foot(*at, *ends, (F.col("_kx"), F.col("_ky")))
+    # the cells' rows are many more than Spark reckons from the segments, so it must not broadcast them
+    pairs = rows.join(keyed.hint("shuffle_hash"), F.col("_there") == F.col("_cell"))
+    return worked_out(pairs, {"share": share, "distance": distance}, F.col("distance") <= metres).drop("_cell", "_there", "_kx", "_ky")
 
 
 def matched(points: DataFrame, segments: DataFrame, metres: float, key: str, segment: str, toward: tuple[str, str] | None = None, k: int = 5, cell: int = 31_250, at: tuple[str, str] = ("x", "y"), ends: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
     """The k nearest segments of each position, in both directions, with ``foot_x``, ``foot_y``, ``reverse`` and ``rank``.
 
     Distances count to the millimetre and directions to a thousandth of a degree, so that what is equal is a tie.  Among equally near ones the direction that differs least from that to the next way-point (columns ``toward``) comes first.
+    Segments are looked for in rings that double up to ``metres``.
     """
+    found, todo, ring = None, points, _first_ring(segments, k, metres, ends)
+    while True:
+        last = ring >= metres
+        size = max(1, min(cell, round(ring * 36)))
+        got = stored(_ranked(todo, segments, ring, key, segment, toward, k, size, at, ends), "matched")
+        # what lies beyond the ring may still tie with what lies within a millimetre of it
+        full = got if last else got.join(got.where(F.col("distance") < ring - 0.002).groupBy(key).count().where(F.col("count") >= k).select(key), key, "left_semi")
+        found = full if found is None else found.unionByName(full)
+        if last:
+            return found
+        todo = stored(todo.join(full.select(key).distinct(), key, "left_anti"), "unmatched")
+        if todo.isEmpty():
+            return found
+        ring = min(metres, ring * 2)
+
+
+def _first_ring(segments: DataFrame, k: int, most: float, ends: tuple[str, str, str, str]) -> float:
+    """Metres to either side in which segments that lie evenly come about three times k."""
+    x1, y1, x2, y2 = ends
+    (x_lo, x_hi), (y_lo, y_hi) = _box(ends)
+    length, width, height = segments.agg(F.sum(geo.distance(*ends)), F.max(x_hi) - F.min(x_lo), F.max(y_hi) - F.min(y_lo)).first()
+    if not length:
+        return most
+    # fixed value: metres in a unit of latitude
+    return max(1.0, min(most, 3 * k * float(width) * float(height) * 0.111 * 0.111 / (2 * length)))
+
+
+def _ranked(points, segments, metres, key, segment, toward, k, cell, at, ends) -> DataFrame:
     x1, y1, x2, y2 = ends
     both = near(points, segments, metres, cell, at, ends).withColumn("reverse", F.explode(F.array(F.lit(False), F.lit(True))))
     way = F.when(F.col("reverse"), geo.bearing(x2, y2, x1, y1)).otherwise(geo.bearing(x1, y1, x2, y2))
@@ -47,14 +104,18 @@ def matched(points: DataFrame, segments: DataFrame, metres: float, key: str, seg
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumns({"foot_x": foot(x1, x2), "foot_y": foot(y1, y2)})
 
 
-def meeting(left: DataFrame, right: DataFrame, left_ends: tuple[str, str, str, str], right_ends: tuple[str, str, str, str], keys: list[str], cell: int = 31_250) -> DataFrame:
-    """Pairs of segments that meet, once each by ``keys``, with ``kind``: 1 in a point, 2 along a stretch."""
-    none = F.lit(0)
-    a, b = boxed(left, *_box(left_ends), none, cell), boxed(right, *_box(right_ends), none, cell)
+def meeting(left: DataFrame, right: DataFrame, left_ends: tuple[str, str, str, str], right_ends: tuple[str, str, str, str], keys: list[str], cell: int = 31_250, only: Column | None = None) -> DataFrame:
+    """Pairs of segments that meet, once each by ``keys``, with ``kind``: 1 in a point, 2 along a stretch; ``only`` those that meet a condition."""
+    none, n = F.lit(0), tasks(left)
     # two boxes share several cells; the pair counts in the first one of both
-    first = lambda p, q: F.floor(F.greatest(F.least(*p), F.least(*q)) / cell).cast("long")
-    here = (F.col("cell_x") == first((left_ends[0], left_ends[2]), (right_ends[0], right_ends[2]))) & (F.col("cell_y") == first((left_ends[1], left_ends[3]), (right_ends[1], right_ends[3])))
-    pairs = a.join(b, ["cell_x", "cell_y"]).where(here).withColumn("kind", geo.meetings(*left_ends, *right_ends)).where("kind > 0")
+    low = lambda p, q: F.floor(F.least(p, q) / cell).cast("long")
+    (a1, b1, a2, b2), (c1, d1, c2, d2) = left_ends, right_ends
+    a = boxed(left.repartition(n).withColumns({"_ax": low(a1, a2), "_ay": low(b1, b2)}), *_box(left_ends), none, cell)
+    b = boxed(right.withColumns({"_bx": low(c1, c2), "_by": low(d1, d2)}), *_box(right_ends), none, cell)
+    here = (F.col("cell_x") == F.greatest("_ax", "_bx")) & (F.col("cell_y") == F.greatest("_ay", "_by"))
+    apart = (F.greatest(a1, a2) < F.least(c1, c2)) | (F.greatest(c1, c2) < F.least(a1, a2)) | (F.greatest(b1, b2) < F.least(d1, d2)) | (F.greatest(d1, d2) < F.least(b1, b2))
+    pairs = a.join(b, ["cell_x", "cell_y"]).where(here & only if only is not None else here).where(~apart)
+    pairs = worked_out(pairs, {"kind": geo.meetings(*left_ends, *right_ends)}, F.col("kind") > 0)
     return pairs.select(*keys, "kind")
 
 

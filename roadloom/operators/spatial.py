@@ -22,6 +22,15 @@ def tasks(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
+def worked_out(pairs: DataFrame, columns: dict[str, Column], condition: Column) -> DataFrame:
+    """``pairs`` with these columns, where a condition on them holds.
+
+    Spark would copy the columns' expressions into the join, with all that they share, into a method too long to be compiled;
+    a projection with a row number stays apart and works each part out once.
+    """
+    return pairs.withColumns(columns | {"_n": F.monotonically_increasing_id()}).where(condition & (F.col("_n") >= 0)).drop("_n")
+
+
 def cell_key(x, y) -> Column:
     """A cell's column and row as one number."""
     return F.shiftleft(geo.col(x).cast("long"), 32) + geo.col(y).cast("long")

@@ -82,7 +82,7 @@ def _collected(name, scale, reach, weight, weight_sql, ids):
     @query(f"SELECT place, round(sum(w / ((d + {scale}) / {scale})) / (any_value(round_even(metres / 20.0, 0)) + 1), 6) AS factor FROM {near_} GROUP BY place", name)
     def run(spark, sf):
         ways = points(spark, sf).withColumn("metres", F.col("population") % 900 + 1)
-        pairs = lines.near(ways, view(spark, sf, "segments"), float(reach), 125_000)
+        pairs = lines.near(ways, view(spark, sf, "segments"), float(reach))
         return enrich.proximity(pairs, ["place"], "metres", "distance", float(scale), weight()).select("place", F.round("factor", 6).alias("factor"))
 
     run.__doc__ = f"{ids}: what ways collect from lines near them."
