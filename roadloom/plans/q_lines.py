@@ -98,7 +98,7 @@ UNION SELECT p.place, (a.area_id % 3 + 1) / 4.0 AS f FROM {_POINTS} p JOIN {duck
 def noise_with_airports(spark, sf):
     """AGG04, SET01: the sum over the distinct union of road noise and areas."""
     ways = points(spark, sf).withColumn("metres", F.col("population") % 900 + 1)
-    roads = enrich.proximity(lines.near(ways, view(spark, sf, "segments"), 7500.0, 125_000), ["place"], "metres", "distance", 15.0, F.lit(0.5)).select("place", F.col("factor").alias("f"))
+    roads = enrich.proximity(lines.near(ways, view(spark, sf, "segments"), 7500.0), ["place"], "metres", "distance", 15.0, F.lit(0.5)).select("place", F.col("factor").alias("f"))
     fields = lines.inside(ways.selectExpr("place", "x as x1", "y as y1", "x as x2", "y as y2"), rings(spark, sf), "ring", cell=125_000, whole=True).select("place", ((F.col("area_id") % 3 + 1) / 4.0).alias("f"))
     return roads.union(fields).distinct().groupBy("place").agg(F.round(F.sum("f"), 6).alias("factor"))
 
