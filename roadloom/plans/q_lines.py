@@ -53,7 +53,7 @@ def segment_crossings(spark, sf):
     s = view(spark, sf, "segments")
     names = ("x1", "y1", "x2", "y2")
     other = s.toDF("other", "u1", "v1", "u2", "v2")
-    return lines.meeting(s, other, names, ("u1", "v1", "u2", "v2"), ["seg", "other"], 250_000).where("seg < other")
+    return lines.meeting(s, other, names, ("u1", "v1", "u2", "v2"), ["seg", "other"], 250_000, F.col("seg") < F.col("other"))
 
 
 #: A segment clipped to the box of an area, as shares of its way.
