@@ -22,7 +22,7 @@ def sides(spark, sf):
 def range_join_fixed(spark, sf):
     """JOIN10, JOIN13."""
     p, s = sides(spark, sf)
-    return spatial.within_distance(p, s, F.lit(9645.0), 125_000).select("place", "site", F.round("distance", 3).alias("metres"))
+    return spatial.within_distance(p, s, F.lit(9645.0), 62_500).select("place", "site", (F.floor(F.col("distance") * 1000 + 0.5) / 1000).alias("metres"))
 
 
 R = "3215 + 64300.0 * p.population / (p.population + 1000000)"
