@@ -89,9 +89,9 @@ def lanes_factor(lanes, oneway) -> Column:
     return F.when(one_way(oneway), of(LANES_ONE, 0.5, 1.0)).otherwise(of(LANES_BOTH, 1.0, 2.0))
 
 
-def gravity(pairs: DataFrame, key: str, distance: str, population: str, weight: Column) -> DataFrame:
-    """``populate_factor``: population over squared distance, weighted by road class."""
-    return pairs.groupBy(key).agg(F.sum(weight * F.col(population) / ((F.col(distance) + 1000) * (F.col(distance) + 1000))).alias("populate_factor"))
+def gravity(pairs: DataFrame, key: str, distance: str, population: str, weight: Column, *more: Column) -> DataFrame:
+    """``populate_factor``: population over squared distance, weighted by road class; and ``more`` aggregates of the same pairs."""
+    return pairs.groupBy(key).agg(F.sum(weight * F.col(population) / ((F.col(distance) + 1000) * (F.col(distance) + 1000))).alias("populate_factor"), *more)
 
 
 def plausible_population(place, population) -> Column:

@@ -89,8 +89,8 @@ def gravity_sum(spark, sf):
     from ..operators.enrich import gravity
 
     p, s = sides(spark, sf)
-    pairs = spatial.within_distance(p, s, F.lit(20_000.0), 250_000)
-    return gravity(pairs, "site", "distance", "population", F.lit(1.0)).join(pairs.groupBy("site").agg(F.count("*").alias("n")), "site").select("site", F.round("populate_factor", 6).alias("populate"), "n")
+    pairs = spatial.within_distance(p, s, F.lit(20_000.0), 125_000)
+    return gravity(pairs, "site", "distance", "population", F.lit(1.0), F.count("*").alias("n")).select("site", F.round("populate_factor", 6).alias("populate"), "n")
 
 
 @query(f"SELECT CAST(floor((ilon - 188000000) / 100000.0) * 10 + floor((ilat - 139000000) / 100000.0) + 1 AS BIGINT) AS id, count(*) AS n, CAST(sum(population) AS BIGINT) AS population FROM {duck('places')} GROUP BY 1")
