@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -51,6 +52,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark remove the shuffled files of plans that are done with: it does so when the driver's collector finds the plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -14,6 +14,8 @@ as it lies in one document:
 Each pass deals fixed-size blocks of digits to groups by their leading bits.  Before that, every task keeps of equal
 contexts or windows only those of its smallest document and removes the others at once, so a passage
 that a third of all documents share comes to a group once for each block of input, not once for each document.
+Groups are worked off in ``ROUNDS`` rounds, so that only a round's share of the digits is on disk at a time, in
+blocks that are larger by as much; tables and shuffled files go as soon as the next table is written.
 Texts longer than a block are cut into pieces that overlap by a window less one byte, so memory is bounded.
 
 Defined results: null and empty texts have no bytes; documents without an id neither lose bytes nor cause a loss;
@@ -22,17 +24,20 @@ documents with the same id cause each other no loss; an empty table gives no row
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix64, slices, stored
+from .common import as_bytes, discard, mix64, release, slices, stored
 
 DIGIT = 20
 BLOCK = 1 << 18
 GROUP_BYTES = 8 << 20
+ROUNDS = 2
 BLOOM_BITS = 26
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _BASES = np.array([0xD1342543DE82EF95, 0xAF251AF3B0F025B5], np.uint64)
@@ -161,9 +166,18 @@ def _first_of(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.n
 ENTRY = np.dtype([("lead", "<u4"), ("rest", "<u8"), ("doc", "<u2"), ("at", "<u4"), ("size", "u1")])
 
 
+def _dest(lead, groups: int) -> np.ndarray:
+    return (lead >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+
+
+def _mine(lead, groups: int, turn: int) -> np.ndarray:
+    """Which digits belong to a round's groups."""
+    return _dest(lead, groups) % np.uint64(ROUNDS) == turn
+
+
 def _deal(lead, rest, ids, ties, spans, groups: int, out: dict):
     """Blocks of entries by the leading bits of their first digit, each with a table of its documents."""
-    dest = (lead >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+    dest = _dest(lead, groups)
     order = np.argsort(dest, kind="stable")
     cuts = np.flatnonzero(np.diff(dest[order])) + 1
     for part in np.split(order, cuts):
@@ -208,7 +222,7 @@ def _emit(out: dict, rows: dict[str, list], groups: int) -> pa.RecordBatch:
     })
 
 
-def _first_pass(depth: int, groups: int):
+def _first_pass(depth: int, groups: int, turn: int):
     def run(batches):
         powers = Powers(_BASES[0])
         waiting, size = [], 0
@@ -223,6 +237,10 @@ def _first_pass(depth: int, groups: int):
 
         for buffer, ends, ids, ties, places in pieces(batches, depth):
             first, last, anchor, digit = anchors(buffer, ends, depth)
+            mine = _mine(digit, groups, turn)
+            if not mine.any():
+                continue
+            first, last, anchor, digit = first[mine], last[mine], anchor[mine], digit[mine]
             piece = np.searchsorted(ends, first, "right")
             size_of = last - first + depth
             context = mix64(Hasher(buffer, powers)(first, first + size_of) + (anchor - first).astype(np.uint64) * _C[0] + size_of.astype(np.uint64) * _C[1])
@@ -259,7 +277,7 @@ def _first_groups(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(rows["id"], pa.int64()), "tie": pa.array(rows["tie"], pa.int32()), "open": pa.array(rows["open"], pa.bool_()), "spans": pa.array(rows["spans"], pa.binary())})
 
 
-def _second_pass(depth: int, groups: int):
+def _second_pass(depth: int, groups: int, turn: int):
     def run(batches):
         powers = [Powers(b) for b in _BASES]
         waiting, size = [], 0
@@ -281,7 +299,12 @@ def _second_pass(depth: int, groups: int):
                     some = starts[(starts >= block) & (starts < block + BLOCK)]
                     if len(some):
                         buffer = np.frombuffer(text, np.uint8)[block : block + BLOCK + depth]
-                        lead, rest = (Hasher(buffer, p)(some - block, some - block + depth) for p in powers)
+                        lead = Hasher(buffer, powers[0])(some - block, some - block + depth)
+                        mine = _mine(lead, groups, turn)
+                        lead, some = lead[mine], some[mine]
+                        if not len(some):
+                            continue
+                        rest = Hasher(buffer, powers[1])(some - block, some - block + depth)
                         waiting.append((lead, rest, np.full(len(some), key, np.int64), np.full(len(some), tie, np.int32), some))
                         size += len(some)
                 if size >= 150_000:
@@ -355,23 +378,45 @@ def _removed(texts, found):
     return {"text": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))}
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
+
+
+def _in_rounds(df: DataFrame, make, decide, name: str) -> list[DataFrame]:
+    """What ``decide`` says of the groups, one stored table a round."""
+    found = []
+    for turn in range(ROUNDS):
+        found.append(stored(df.mapInArrow(make(turn), BLOCKS).groupBy("dest").applyInArrow(decide, ROWS), name))
+        release(df.sparkSession)
+    return found
+
+
 def removed(docs: DataFrame, depth: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each document: id, ``text`` as the bytes that stay (null for null) and the removed ``spans`` (bytes, from 0)."""
     if not DIGIT <= depth <= 140:
         raise ValueError("the depth must be from 20 to 140 bytes")
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     source = rows.select("id", F.expr("cast(xxhash64(text) & 2147483647 as int)").alias("tie"), "text")
     usable = source.where("id is not null and text is not null")
     total = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
-    found = stored(usable.mapInArrow(_first_pass(depth, groups), BLOCKS).groupBy("dest").applyInArrow(_first_groups, ROWS), "first-pass")
-    wide = found.where("open").groupBy("id", "tie").agg(F.collect_list("spans").alias("found"))
+    found = _in_rounds(usable, lambda turn: _first_pass(depth, groups, turn), _first_groups, "first-pass")
+    decided = [df.where("not open") for df in found]
+    wide = _all(found).where("open").groupBy("id", "tie").agg(F.collect_list("spans").alias("found"))
     wide = stored(wide, "open-windows")
+    release(spark)
     bits = _may_be_in(source, wide)
     some = usable.withColumn("bit", _bit()).mapInArrow(_filtering(bits, True), "id long, tie int, bit long, text string")
-    more = wide.join(some, ["id", "tie"]).select("id", "tie", "text", "found")
-    more = more.mapInArrow(_second_pass(depth, groups), BLOCKS).groupBy("dest").applyInArrow(_second_groups, ROWS)
-    every = stored(found.where("not open").union(more).groupBy("id", "tie").agg(F.collect_list("spans").alias("found")), "spans")
+    # joined once for all rounds
+    opened = stored(wide.join(some, ["id", "tie"]).select("id", "tie", "text", "found"), "open-texts")
+    discard(wide)
+    release(spark)
+    more = _in_rounds(opened, lambda turn: _second_pass(depth, groups, turn), _second_groups, "second-pass")
+    discard(opened)
+    every = stored(_all([*decided, *more]).groupBy("id", "tie").agg(F.collect_list("spans").alias("found")), "spans")
+    discard(*found, *more)
+    release(spark)
     bits = _may_be_in(source, every)
     marked = source.withColumn("bit", F.when(F.col("id").isNotNull(), _bit()).otherwise(F.lit(0)))
     schema = f"id long, {RESULT}"
