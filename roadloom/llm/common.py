@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -58,6 +59,27 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system: the worker waits for other tasks, whose own workers need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
+def tidied(run):
+    """A function over record batches that gives its memory back when a task's batches are done with."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
