@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import WORD, Memo, as_bytes, fresh_name, row_key, slices, stored, words_of
+from .common import WORD, Memo, as_bytes, fresh_name, row_key, slices, stored, tidied, words_of
 
 P = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "n_words long, n_hit long, spans array<struct<start:long,stop:long>>, items array<string>"
@@ -141,11 +141,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         return run
 
     if count == 1:
-        return source.mapInArrow(scanning(_block(items, 0, 1, n)), f"id {ids}, {FOUND}").withColumnRenamed("id", id_col)
+        return source.mapInArrow(tidied(scanning(_block(items, 0, 1, n))), f"id {ids}, {FOUND}").withColumnRenamed("id", id_col)
     parts = None
     for number in range(count):
         windows = _block(items, number, count, n)
-        part = source.mapInArrow(scanning(windows), f"id {ids}, row long, {FOUND}").withColumn("block", F.lit(number))
+        part = source.mapInArrow(tidied(scanning(windows)), f"id {ids}, row long, {FOUND}").withColumn("block", F.lit(number))
         part = stored(part, "hits")
         windows.destroy()
         parts = part if parts is None else parts.unionByName(part)
@@ -210,7 +210,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
     wide = StructType([*whole.fields, StructField(marks, ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())])))])
     for number in range(count):
         windows = _block(items, number, count, n)
-        docs = docs.mapInArrow(marking(windows, number == 0), whole if mode == "document" else wide)
+        docs = docs.mapInArrow(tidied(marking(windows, number == 0)), whole if mode == "document" else wide)
         if count > 1:
             docs = stored(docs, "marked")
             windows.destroy()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, stored
+from .common import mix64, slices, stored, tidied
 
 LETTERS = re.compile(r"[^\W\d_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -149,7 +149,7 @@ def _counts(sample: DataFrame) -> DataFrame:
             table = pa.table({"lang": pa.array(lang, pa.string()), "word": pa.array(word, pa.string())}).group_by(["lang", "word"]).aggregate([([], "count_all")])
             yield from table.rename_columns({"count_all": "n"}).select(["lang", "word", "n"]).combine_chunks().to_batches()
 
-    return sample.select("text", "lang").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return sample.select("text", "lang").mapInArrow(tidied(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _grams(counts: DataFrame, longest: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _grams(counts: DataFrame, longest: int) -> DataFrame:
                 keys, owner = gram_keys(words, size)
                 yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(keys), size, np.int32)), "key": pa.array(keys.view(np.int64)), "lang": langs.take(pa.array(owner)), "n": pa.array(n[owner])})
 
-    return counts.mapInArrow(run, "size int, key long, lang string, n long").groupBy("size", "key", "lang").agg(F.sum("n").alias("n"))
+    return counts.mapInArrow(tidied(run), "size int, key long, lang string, n long").groupBy("size", "key", "lang").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, rows: Column | None = None, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500, longest: int = 5, least: int = 2) -> Model:
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             found = score(batch["text"].to_pylist())
             yield pa.RecordBatch.from_pydict({"id": batch["id"], "lang_pred": pa.array([x[0] for x in found], pa.string()), "lang_score": pa.array([x[1] for x in found], pa.float64())})
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, lang_score double").withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidied(run), f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, lang_score double").withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -222,4 +222,4 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "tex
             found = score(batch.column(place).to_pylist())
             yield batch.filter(pa.array([x[0] != "und" and x[1] >= least for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, discard, fresh_name, mix64, slices, stored
+from .common import Memo, as_bytes, discard, fresh_name, mix64, slices, stored, tidied
 
 SHINGLE = 5
 _RNG = np.random.default_rng(20240229)
@@ -149,13 +149,13 @@ class Index:
                 })
 
         self.id_type = self.docs.schema["id"].dataType.simpleString()
-        self.signed = stored(self.docs.mapInArrow(sign, f"id {self.id_type}, tie long, n long, set binary, sig binary"), "signatures")
+        self.signed = stored(self.docs.mapInArrow(tidied(sign), f"id {self.id_type}, tie long, n long, set binary, sig binary"), "signatures")
         grouped = self.signed.where("n > 0 and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         # numbered in order of the smallest id, so that the smallest node of a group is its earliest document
         self.nodes = stored(grouped.repartitionByRange("rep", "set").sortWithinPartitions("rep", "set").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def keyed(self) -> DataFrame:
-        return self.nodes.select("node", "sig").mapInArrow(_keying(self.plan), "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+        return self.nodes.select("node", "sig").mapInArrow(tidied(_keying(self.plan)), "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
     def members(self) -> DataFrame:
         """(key, node, first, last) of the keys that several nodes share."""
@@ -174,7 +174,7 @@ class Index:
             table[(r.bucket - 1) * len(r.bits) : r.bucket * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
         held = self.docs.sparkSession.sparkContext.broadcast(table)
         source = self.docs.select("id", F.pmod(F.xxhash64("id"), F.lit(1 << BLOOM_BITS)).alias("bit"), "text").where("id is not null")
-        sets = source.mapInArrow(_sets(held), f"id {self.id_type}, set binary, shingles binary")
+        sets = source.mapInArrow(tidied(_sets(held)), f"id {self.id_type}, set binary, shingles binary")
         # rows repeated with id and text are the same set
         joined = wanted.join(sets.withColumnRenamed("id", "rep"), ["rep", "set"]).dropDuplicates(["node"]).select("node", "n", "sig", "shingles")
         found = stored(joined, "sets")
