@@ -125,9 +125,10 @@ def nearest_ring(left: DataFrame, right: DataFrame, k: int, first: float, left_i
     found, metres, todo = None, min(first, most), left
     while True:
         size = max(1, min(cell, round(metres * 9)))
-        got = stored(_ranked(todo, right, k, metres, left_id, right_id, size, names), "nearest")
+        ranked = _ranked(todo, right, k, metres, left_id, right_id, size, names)
+        got = stored(ranked.withColumn("_n", F.count("*").over(Window.partitionBy(left_id))), "nearest")
         last = metres >= most
-        full = got if last else got.join(got.groupBy(left_id).count().where(F.col("count") >= k).select(left_id), left_id, "left_semi")
+        full = (got if last else got.where(F.col("_n") >= k)).drop("_n")
         found = full if found is None else found.unionByName(full)
         if last:
             return found
