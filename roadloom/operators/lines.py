@@ -35,7 +35,14 @@ def along(segments: DataFrame, reach: Column, cell: int, ends: tuple[str, str, s
     wide = F.ceil(reach / kx).cast("long") + 1
     out = out.withColumn("_wide", F.when(wide.between(0, 360_000_000), wide).otherwise(360_000_000))
     span = lambda lo, hi, r: F.sequence(F.floor((lo - F.col(r)) / cell).cast("long"), F.floor((hi + F.col(r)) / cell).cast("long"))
-    out = out.withColumn("_cx", F.explode(span(x_lo, x_hi, "_wide"))).withColumn("_cy", F.explode(span(y_lo, y_hi, "_high")))
+    out = out.withColumn("_cx", F.explode(span(x_lo, x_hi, "_wide")))
+    # of each column only the heights of the stretch that its positions can be near to, one unit more for rounding
+    x1, y1, x2, y2 = map(F.col, ends)
+    slope = F.coalesce((y2 - y1) / F.nullif(x2 - x1, F.lit(0)), F.lit(0.0))
+    at = lambda x: y1 + (F.greatest(x_lo, F.least(x_hi, x)) - x1) * slope
+    left, right = at(F.col("_cx") * cell - F.col("_wide")), at((F.col("_cx") + 1) * cell + F.col("_wide"))
+    low, high = (F.when(x1 == x2, whole).otherwise(part) for whole, part in ((y_lo, F.least(left, right) - 1), (y_hi, F.greatest(left, right) + 1)))
+    out = out.withColumns({"_low": low, "_top": high}).withColumn("_cy", F.explode(span(F.col("_low"), F.col("_top"), "_high"))).drop("_low", "_top")
     # the cell's middle is at most its half diagonal farther off, all in units of the reach
     x1, y1, x2, y2 = (F.col(c) / F.col(r) for c, r in zip(ends, ("_wide", "_high") * 2, strict=True))
     px, py = (F.col("_cx") + 0.5) * cell / F.col("_wide"), (F.col("_cy") + 0.5) * cell / F.col("_high")
