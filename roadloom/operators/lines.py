@@ -13,6 +13,10 @@ from .spatial import cell_key, in_cells, tasks, worked_out
 from .tables import stored
 
 
+#: How much larger the next ring of ``matched`` is; its pairs grow in proportion, and few positions are left by then.
+GROWTH = 8
+
+
 def boxed(df: DataFrame, xs: tuple[Column, Column], ys: tuple[Column, Column], reach: Column, cell: int) -> DataFrame:
     """``df`` with a row for each cell of its box, widened by ``reach`` units."""
     span = lambda lo, hi: F.sequence(F.floor((lo - reach) / cell).cast("long"), F.floor((hi + reach) / cell).cast("long"))
@@ -71,22 +75,25 @@ def matched(points: DataFrame, segments: DataFrame, metres: float, key: str, seg
     """The k nearest segments of each position, in both directions, with ``foot_x``, ``foot_y``, ``reverse`` and ``rank``.
 
     Distances count to the millimetre and directions to a thousandth of a degree, so that what is equal is a tie.  Among equally near ones the direction that differs least from that to the next way-point (columns ``toward``) comes first.
-    Segments are looked for in rings that double up to ``metres``.
+    Segments are looked for in rings that grow up to ``metres``.
     """
     found, todo, ring = None, points, _first_ring(segments, k, metres, ends)
+    segments = stored(segments, "segments")
     while True:
         last = ring >= metres
         size = max(1, min(cell, round(ring * 36)))
-        got = stored(_ranked(todo, segments, ring, key, segment, toward, k, size, at, ends), "matched")
+        ranked = _ranked(todo, segments, ring, key, segment, toward, k, size, at, ends)
         # what lies beyond the ring may still tie with what lies within a millimetre of it
-        full = got if last else got.join(got.where(F.col("distance") < ring - 0.002).groupBy(key).count().where(F.col("count") >= k).select(key), key, "left_semi")
+        sure = F.count(F.when(F.col("distance") < ring - 0.002, True)).over(Window.partitionBy(key))
+        got = stored(ranked.withColumn("_sure", sure), "matched")
+        full = (got if last else got.where(F.col("_sure") >= k)).drop("_sure")
         found = full if found is None else found.unionByName(full)
         if last:
             return found
         todo = stored(todo.join(full.select(key).distinct(), key, "left_anti"), "unmatched")
         if todo.isEmpty():
             return found
-        ring = min(metres, ring * 2)
+        ring = min(metres, ring * GROWTH)
 
 
 def _first_ring(segments: DataFrame, k: int, most: float, ends: tuple[str, str, str, str]) -> float:
