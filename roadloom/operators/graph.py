@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import meeting
 from .tables import discard, stored
 
 
@@ -89,21 +90,36 @@ def islands(edges: DataFrame, points: DataFrame, limit: int = 500) -> DataFrame:
 
 
 def routes(edges: DataFrame, requests: DataFrame, alternatives: int = 0) -> DataFrame:
-    """(alternative, req, seq, node, cost): paths of requests (req, src, dst).
+    """(alternative, req, seq, node, cost): paths of requests (req, src, dst), looked for from both ends.
 
+    Ties go to fewer hops, then, from the end back, the smaller predecessor.
     Each alternative is searched with the links of earlier results at their double weight.
     """
     found = used = None
-    weights = stored(edges.select("src", "dst", "weight"), "edges")
-    sources = requests.select("req", F.col("src").alias("node"))
-    targets = requests.select("req", F.col("dst").alias("node"))
+    weights = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "weight")
+    if not hasattr(edges, "_stored_at"):
+        weights = stored(weights, "edges")
+    sources = requests.select("req", F.col("src").cast("long").alias("node"), F.lit(0.0).alias("cost"))
+    targets = requests.select("req", F.col("dst").cast("long").alias("node"))
+
+    def along(here: str, there: str, used: DataFrame | None):
+        def step(rows: DataFrame, count: int) -> DataFrame:
+            on = meeting.small(rows, count).join(weights, F.col("node") == F.col(here))
+            if used is None:
+                return on.selectExpr(*rows.columns, f"{there} AS to", "weight AS step")
+            on = on.join(used, ["req", "src", "dst"], "left")
+            return on.selectExpr(*rows.columns, f"{there} AS to", "weight * (1.0D + coalesce(times, 0)) AS step")
+
+        return step
+
     for number in range(alternatives + 1):
-        path = backtracked(least_costs(weights, sources, penalties=used), targets).drop("target").withColumn("alternative", F.lit(number))
-        path = stored(path, "routes")
+        path = meeting.paths(sources, targets, along("src", "dst", used), along("dst", "src", used))
+        path = stored(path.withColumn("alternative", F.lit(number)), "routes")
         found = path if found is None else found.unionByName(path)
         w = Window.partitionBy("alternative", "req").orderBy("seq")
         pairs = found.select("req", F.lag("node").over(w).alias("src"), F.col("node").alias("dst")).where("src is not null")
-        used = stored(pairs.groupBy("req", "src", "dst").agg(F.count("*").alias("times")), "penalties")
+        if number < alternatives:
+            used = stored(pairs.groupBy("req", "src", "dst").agg(F.count("*").alias("times")), "penalties")
     return found
 
 
