@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._stored_at = path
+    trim(df.sparkSession)
     return found
 
 
@@ -59,8 +61,30 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim(spark: SparkSession) -> None:
+    """Returns what the driver's Python and JVM have freed outside the JVM's heap to the system: plans and small jobs leave it scattered, and it adds up over a session."""
+    give_back()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    try:
+        lang, kinds, values = jvm.java.lang, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"), gateway.new_array(jvm.java.lang.Object, 4)
+        classes = gateway.new_array(lang.Class, 4)
+        for i, kind in enumerate(kinds):
+            classes[i] = lang.Class.forName(kind)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by the interface's method, as the server's own class is not open to reflection
+        lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", classes).invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:  # only HotSpot on glibc has it
+        pass
+
+
+def settle(spark: SparkSession) -> None:
+    """Has the driver collect what it is done with, on both sides, and return it to the system."""
+    release(spark)
+    trim(spark)
+
+
 def give_back() -> None:
-    """Returns a Python worker's freed memory to the system: the worker waits for other tasks, whose own workers need it."""
+    """Returns a Python process's freed memory to the system: a worker waits for other tasks, whose own workers need it."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, discard, fresh_name, mix64, slices, stored, tidied
+from .common import Memo, as_bytes, discard, fresh_name, mix64, settle, slices, stored, tidied
 
 SHINGLE = 5
 _RNG = np.random.default_rng(20240229)
@@ -243,12 +243,15 @@ class Index:
 
     def classes(self) -> DataFrame:
         """(node, component) of all nodes that share a key with another."""
+        spark = self.docs.sparkSession
         members = self.members()
         sets = self.sets(members)
+        settle(spark)  # the many plans from here on stay in the driver's memory until it is collected
         links = stored(self.pivots(members, sets), "links")
         seed = 0
         while True:
             found = components(links)
+            settle(spark)
             placed = self.placed(members, found)
             sides = self.open_sides(placed)
             nodes, parts = self.areas(sides, sets)
@@ -261,7 +264,9 @@ class Index:
             if gained < 0.05 * nodes.count():
                 break
             discard(placed, sides, nodes, parts)
+        settle(spark)
         last = components(stored(self.across(sides, nodes, parts, sets), "area-links"))
+        settle(spark)
         of = placed.select("node", "component").distinct().join(last.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
         return of.select("node", F.coalesce("to", "component").alias("component"))
 

@@ -1,4 +1,4 @@
-"""The check of round 2: operator 5 learns words of Latin-1 letters by the model alone, and the pipeline's workers give memory back."""
+"""The check of round 2: operator 5 learns words of Latin-1 letters by the model alone, and the pipeline's workers and driver give memory back."""
 
 from functools import cache
 
@@ -55,3 +55,30 @@ def test_memory_goes_back_after_a_task():
     before = rss()
     assert list(common.tidied(run)([1])) == [1]
     assert rss() - before < 60_000_000
+
+
+def test_the_driver_gives_memory_back_with_each_table(spark):
+    jvm = spark._jvm
+    rss = lambda: int(open(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/statm").read().split()[1]) * 4096
+    table = spark.range(1).toDF("n")
+    common.stored(table, "first")
+    before = rss()
+    held = [jvm.java.util.zip.Deflater() for _ in range(2000)]  # memory outside the JVM's heap
+    assert (most := rss()) - before > 120_000_000
+    for x in held[:-1]:  # the last one keeps the heap's end in use
+        x.end()
+    common.stored(table, "second")
+    assert most - rss() > 80_000_000
+
+
+def test_each_stage_of_the_pipeline_begins_with_memory_given_back(monkeypatch):
+    import corpus_pipeline
+
+    seen = []
+    monkeypatch.setattr(common, "settle", seen.append)
+    for _, stage in corpus_pipeline.STAGES:
+        try:
+            stage("spark", None, "")
+        except (AttributeError, AssertionError):  # there are no documents
+            pass
+    assert seen == ["spark"] * len(corpus_pipeline.STAGES)
