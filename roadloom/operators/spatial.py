@@ -36,10 +36,15 @@ def cell_key(x, y) -> Column:
     return F.shiftleft(geo.col(x).cast("long"), 32) + geo.col(y).cast("long")
 
 
-def covered(df: DataFrame, x: str, y: str, reach: tuple[Column, Column], cell: int) -> DataFrame:
-    """``df`` with one row for each cell that the ellipse of these half axes around its position touches."""
-    span = lambda c, r: F.sequence(F.floor((F.col(c) - r) / cell).cast("long"), F.floor((F.col(c) + r) / cell).cast("long"))
-    out = df.withColumn("_cx", F.explode(span(x, reach[0]))).withColumn("_cy", F.explode(span(y, reach[1])))
+def covered(df: DataFrame, x: str, y: str, reach: tuple[Column, Column], cell: int, box: tuple[int | None, ...] = (None,) * 4) -> DataFrame:
+    """``df`` with one row for each cell that the ellipse of these half axes around its position touches.
+
+    Cells out of ``box`` (the first and last column, the first and last row) are not wanted, and mostly left out.
+    """
+    low = lambda c, least: F.greatest(F.floor(c / cell).cast("long"), F.lit(least)) if least is not None else F.floor(c / cell).cast("long")
+    top = lambda c, most: F.least(F.floor(c / cell).cast("long"), F.lit(most)) if most is not None else F.floor(c / cell).cast("long")
+    span = lambda c, r, least, most: F.sequence(low(F.col(c) - r, least), top(F.col(c) + r, most))
+    out = df.withColumn("_cx", F.explode(span(x, reach[0], *box[:2]))).withColumn("_cy", F.explode(span(y, reach[1], *box[2:])))
     # from the position to the nearest place in the cell
     off = lambda c, k, r: F.greatest(F.lit(0), F.col(k) * cell - F.col(c), F.col(c) - (F.col(k) + 1) * cell) / r
     dx, dy = off(x, "_cx", reach[0]), off(y, "_cy", reach[1])
@@ -93,6 +98,54 @@ def within_distance(left: DataFrame, right: DataFrame, metres: Column, cell: int
     return out.drop("_metres", "_high", "_first", "_kx", "_ky", "_wide")
 
 
+def within_own_radius(left: DataFrame, right: DataFrame, metres: Column, cell: int = 250_000, names: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
+    """Pairs as of ``within_distance``, with their ``distance``, for radii of many cells, where pairs are far more than rows.
+
+    Left rows go to the large cells that their circle touches, with no more than the join needs, and each cell's are dealt to
+    many tasks.  The right side goes to all of these, as strips of a cell ordered by x.  A strip is joined with all left rows
+    before the next one, so that what a left row finds in it repeats what others found, which files of columns store in few
+    bytes.
+    """
+    x1, y1, x2, y2 = names
+    n = tasks(left)
+    deals = -(-n // 4)
+    # fixed value: a degree of latitude is 110.57 km at least
+    high = F.ceil(F.col("_metres") / 0.1105).cast("long") + 1
+    around = 360_000_000
+    wide = lambda k: F.when(k > 0, F.ceil(F.least(F.col("_metres") / k, F.lit(float(around)))) + 1).otherwise(around)
+    first, last = F.floor((F.col(y1) - high) / 100_000), F.floor((F.col(y1) + high) / 100_000)
+    rows = left.withColumn("_metres", metres.cast("double")).repartition(n)
+    rows = worked_out(rows, {"_high": high, "_low": first, "_top": last, "_deal": F.pmod(F.xxhash64(*left.columns), F.lit(deals)).cast("int")}, F.col("_metres") >= 0)
+    # a unit of longitude is shortest at one end of the bands, as long as they do not go around the globe
+    shortest = F.when((F.col("_low") >= -900) & (F.col("_top") <= 2700), F.least(geo.band_scales(F.col("_low"))[0], geo.band_scales(F.col("_top"))[0])).otherwise(0.0)
+    rows = worked_out(rows, {"_k": shortest}, F.col("_high") >= 0).withColumn("_wide", wide(F.col("_k")))
+    box = right.agg(*(F.floor(f(c) / cell).cast("long") for c in (x2, y2) for f in (F.min, F.max))).first()
+    a = covered(rows, x1, y1, (F.col("_wide"), F.col("_high")), cell, box).drop("_wide", "_high", "_low", "_top", "_k").repartition(n, "_cell", "_deal")
+    # bands of a cell's pairs; the cell's row is the lower half of its key
+    row = F.pmod(F.col("_cell") + 2**31, F.lit(2**32)) - 2**31
+    lowest = F.floor((F.col(y1) + row * cell) / 200_000)
+    scales = [geo.band_scales(lowest + k) for k in range(-(-cell // 200_000) + 1)]
+    a = a.withColumns({"_first": lowest, "_high": high, "_kx": F.array(*(kx for kx, _ in scales)), "_ky": F.array(*(ky for _, ky in scales))})
+    a = worked_out(a, {}, F.lit(True)).withColumn("_wide", wide(F.array_min("_kx")))
+    b = strips(right, x2, y2, cell).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    off = lambda c, low, top, r: F.greatest(F.lit(0), F.col(low) - F.col(c), F.col(c) - F.col(top)) / F.col(r)
+    dx, dy = off(x1, "_x0", "_x1", "_wide"), off(y1, "_y0", "_y1", "_high")
+    pairs = b.hint("merge").join(a, ["_cell", "_deal"]).where(dx * dx + dy * dy <= 1).select(*left.columns, "_metres", "_first", "_kx", "_ky", F.inline("_strip"))
+    at = (F.floor((F.col(y1) + F.col(y2)) / 200_000) - F.col("_first")).cast("int")
+    dx, dy = (F.col(x1) - F.col(x2)) * F.get("_kx", at), (F.col(y1) - F.col(y2)) * F.get("_ky", at)
+    distance = F.sqrt(dx * dx + dy * dy)
+    return pairs.where(distance <= F.col("_metres")).select(*left.columns, *right.columns, distance.alias("distance"))
+
+
+def strips(df: DataFrame, x: str, y: str, cell: int, size: int = 128) -> DataFrame:
+    """Cells cut from south to north into strips of so many rows: ``_cell``, ``_strip`` (rows by x) and the corners of each."""
+    keyed = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_cell", cell_key(F.floor(F.col(x) / cell), F.floor(F.col(y) / cell)))
+    keyed = keyed.withColumn("_n", F.floor((F.row_number().over(Window.partitionBy("_cell").orderBy(y, x)) - 1) / size))
+    corners = (F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
+    rest = [c for c in df.columns if c not in (x, y)]
+    return keyed.groupBy("_cell", "_n").agg(F.sort_array(F.collect_list(F.struct(x, y, *rest))).alias("_strip"), *corners).drop("_n")
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, metres: float, left_id: str, right_id: str, cell: int = 31_250, names: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
     """The k nearest of the right side within so many metres of each left row, with ``distance`` and ``rank`` (ties by id).
 

@@ -33,7 +33,7 @@ def range_join_row_radius(spark, sf):
     """JOIN12: the radius depends on the row."""
     p, s = sides(spark, sf)
     radius = 3215 + 64300.0 * F.col("population") / (F.col("population") + 1_000_000)
-    return spatial.within_distance(p, s, radius, 125_000).select("place", "site")
+    return spatial.within_own_radius(p, s, radius).select("place", "site")
 
 
 @query(f"SELECT p.id AS place, s.id AS site FROM {duck('places')} p LEFT JOIN {duck('sites')} s ON {D} <= 5500")
